@@ -78,8 +78,7 @@ def _normalised(df: DataFrame, detector: str) -> tuple[Column, Column]:
     nothing = F.lit(None).cast("double")
     score = F.col(f"score_{detector}_normalized") if f"score_{detector}_normalized" in df.columns else nothing
     conf = F.col(f"{detector}_confidence") if f"{detector}_confidence" in df.columns else nothing
-    conf = clamp(conf)
-    conf = F.when(conf.isNotNull(), conf) if f"{detector}_confidence" in df.columns else nothing
+    conf = F.when(conf.isNotNull(), clamp(conf))
     implied = F.when(conf.isNull(), F.when(pred == 1, 1.0).otherwise(0.0)).otherwise(
         F.when(pred == 1, conf).otherwise(1.0 - conf)
     )

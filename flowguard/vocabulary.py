@@ -146,3 +146,63 @@ DECISION_REASONS = {
     "b_ensemble": "O ensemble entrou na faixa forte e recebeu apoio suficiente do IF, do Autoencoder ou do contexto heuristico para elevar o caso.",
     "safe": "O Autoencoder permaneceu na zona baixa de anomalia e nao houve sinal suficiente para elevar o caso.",
 }
+
+# Display labels.
+ATTACK_LABELS = {
+    "normal": "Normal", "anomaly": "Anomalia", "port_scan": "Varredura de Portas",
+    "brute_force": "Força Bruta", "syn_flood": "DDoS", "ssh_suspicious": "SSH Suspeito",
+    "suspicious": "Suspeito", "unknown": "Desconhecido",
+}
+RISK_LABELS = {
+    "low": "Baixo", "medium": "Médio", "high": "Alto", "critical": "Crítico", "unknown": "Desconhecido",
+}
+FINAL_LABELS = {
+    "normal": "Normal", "anomaly": "Anomalia", "available": "Disponível", "unavailable": "Indisponível",
+    "success": "Sucesso", "suspicious": "Suspeito", "unknown": "Desconhecido",
+}
+SOURCE_LABELS = {
+    "decision_engine": "Motor de Decisão", "ensemble": "Ensemble", "heuristic": "Heurística",
+    "heuristic_signature": "Heurística", "autoencoder": "Autoencoder", "isolation_forest": "Isolation Forest",
+    "safe_negative": "Sistema", "system": "Sistema", "unknown": "Desconhecida",
+}
+TECHNICAL_LABELS = {
+    "final_label": "Classificação final", "attack_type": "Tipo de ataque", "risk_level": "Risco",
+    "decision_source": "Fonte da decisão", "decision_reason": "Motivo da decisão", "confidence": "Confiança",
+    "ai_support": "Apoio da IA", "autoencoder_score": "Score do Autoencoder",
+    "isolation_score": "Score do Isolation Forest", "ensemble_score": "Score do Ensemble",
+    "connections": "Conexões", "packets": "Pacotes", "bytes": "Bytes", "ports": "Portas",
+    "protocol": "Protocolo", "action": "Ação", "window_start": "Início da janela", "window_end": "Fim da janela",
+}
+
+# Order of the result columns.
+RESULT_COLUMNS = [
+    "window_id", "window_start", "window_end", "src_ip", "event_count", "protocol", "action", "interface",
+    "destination_ip_count", "destination_port_count", "common_destination_ports", "tcp_syn_count",
+    "tcp_pa_count", "tcp_flags_summary", *FEATURES, "is_anomaly", "final_label", "attack_type", "risk_level",
+    "confidence", "explanation", "decision_source", "decision_reason", "ensemble_score", "autoencoder_score",
+    "isolation_score", "ai_support", "ai_support_conservative", "ai_support_type", "ai_support_level",
+    "ai_support_reason", "ai_support_signals",
+]
+
+# Header and source column of the history export.
+EXPORT_COLUMNS = [
+    ("ID", "id"), ("Janela", "window_id"), ("Execução", "execution_id"), ("Início da janela", "window_start"),
+    ("Fim da janela", "window_end"), ("Classificação", "final_label"), ("Tipo de ataque", "attack_type"),
+    ("Risco", "risk_level"), ("Fonte da decisão", "decision_source"), ("Confiança", "confidence"),
+    ("Apoio da IA", "ai_support"), ("Score do Ensemble", "ensemble_score"),
+    ("Score do Autoencoder", "autoencoder_score"), ("Score do Isolation Forest", "isolation_score"),
+    ("IP de origem", "src_ip"), ("IP de destino", "dst_ip"), ("Porta", "dst_port"), ("Protocolo", "protocol"),
+    ("Ação", "action"),
+]
+RELEVANT_FEATURES = [
+    "connections", "packets", "bytes", "ports", "bytes_per_packet", "packets_per_connection",
+    "bytes_per_connection", "log1p_connections",
+]
+
+# Scenario observations.
+OBSERVATIONS = {
+    "calm": "Trafego benigno ficou majoritariamente normal.",
+    "noisy": "Ainda ha excesso de promocao de anomalia em trafego benigno.",
+    "kept": "Cenario preservou o tipo %s com risco dominante %s.",
+    "lost": "Cenario ainda nao preservou um tipo de ataque final especifico.",
+}
