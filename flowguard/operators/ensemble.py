@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowguard import vocabulary as V
 from flowguard.config import EnsembleConfig, ensemble_profile
 from flowguard.functions.scalar import clamp
+from flowguard.operators.evaluation import binary_metrics
 from flowguard.operators.scores import clean_score, log_error
 
 
@@ -42,7 +45,11 @@ def ensemble_support(
     Reads ``pred_if``, ``score_if``, ``score_if_normalized``, ``pred_ae``,
     ``score_ae`` and ``score_ae_normalized``. ``ae_reference`` is a number or a column.
     """
-    cfg = ensemble_profile(config, profile)
+    return support_columns(df, ensemble_profile(config, profile), ae_reference)
+
+
+def support_columns(df: DataFrame, cfg: EnsembleConfig, ae_reference: float | str | None) -> DataFrame:
+    """M11 under resolved parameters."""
     if_weight, ae_weight = cfg.weights()
     reference = cfg.ae_reference if cfg.ae_reference is not None else ae_reference
     if reference is None:
@@ -103,6 +110,63 @@ def ensemble_support(
     )
 
 
+@dataclass(frozen=True)
+class SweptConfig(EnsembleConfig):
+    """Weights and threshold read from a ``_candidate`` struct instead of fixed."""
+
+    def weights(self) -> tuple[Column, Column]:
+        return F.col("_candidate.if_weight"), F.col("_candidate.ae_weight")
+
+    def support_threshold(self) -> Column:
+        return F.col("_candidate.threshold")
+
+
+# Candidate weights (forest, reconstruction) and thresholds.
+WEIGHT_OPTIONS = ((0.10, 0.90), (0.12, 0.88), (0.15, 0.85), (0.20, 0.80))
+THRESHOLD_OPTIONS = (0.52, 0.55, 0.58, 0.60)
+
+
+def sweep_candidates(
+    weights: tuple = WEIGHT_OPTIONS, thresholds: tuple = THRESHOLD_OPTIONS, profile: str = "balanced", clipped: bool = True
+) -> list[EnsembleConfig]:
+    """Candidates with different effective parameters.
+
+    A profile clips weights and thresholds, which makes most of the grid equal;
+    ``clipped=False`` keeps the profile out of the two swept parameters.
+    """
+    seen, kept = set(), []
+    for (iforest, ae), threshold in ((w, t) for w in weights for t in thresholds):
+        config = EnsembleConfig(if_weight=iforest, ae_weight=ae, threshold=threshold)
+        resolved = ensemble_profile(config, profile)
+        if not clipped:
+            resolved = replace(resolved, if_weight=iforest, ae_weight=ae, threshold=threshold)
+        effective = (*resolved.weights(), resolved.support_threshold())
+        if effective not in seen:
+            seen.add(effective)
+            kept.append(resolved)
+    return kept
+
+
+def ensemble_sweep(df: DataFrame, target: str, candidates: list[EnsembleConfig], ae_reference: float | str) -> DataFrame:
+    """Metrics of every candidate from one pass over the scored rows."""
+    options = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("candidate"),
+                F.lit(c.weights()[0]).alias("if_weight"),
+                F.lit(c.weights()[1]).alias("ae_weight"),
+                F.lit(c.support_threshold()).alias("threshold"),
+            )
+            for i, c in enumerate(candidates)
+        ]
+    )
+    base = candidates[0]
+    swept = SweptConfig(**{f.name: getattr(base, f.name) for f in fields(EnsembleConfig)})
+    judged = support_columns(df.withColumn("_candidate", F.explode(options)), swept, ae_reference)
+    metrics = binary_metrics(judged, target, "pred_ensemble", ["_candidate"])
+    return metrics.select("_candidate.*", *[c for c in metrics.columns if c != "_candidate"])
+
+
 def weighted_ensemble(df: DataFrame, config: EnsembleConfig) -> DataFrame:
     """Weighted mean of both scores, each scaled to 0..1.
 
