@@ -10,16 +10,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
+def _with_k(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def fw(spark: SparkSession, folder: str) -> DataFrame:
     """Prepared firewall events from ``events``."""
+    return fw_of(table(spark, folder, "events"))
+
+
+def fw_of(events: DataFrame) -> DataFrame:
+    """The same for any frame shaped like ``events``."""
     kind, k = F.col("event_type"), F.col("k")
-    return _events(spark, folder).select(
+    return _with_k(events).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 8).cast("string")).alias("source_ip"),
@@ -105,7 +108,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 def hist(spark: SparkSession, folder: str) -> DataFrame:
     """Scored history from ``events``."""
     value, kind, ident = F.col("value"), F.col("event_type"), F.col("event_id")
-    return _events(spark, folder).select(
+    return _with_k(table(spark, folder, "events")).select(
         ident.alias("id"),
         F.col("ts").cast("timestamp").alias("created_at"),
         F.when(ident % 7 != 0, F.col("ts").cast("timestamp")).alias("window_timestamp"),
