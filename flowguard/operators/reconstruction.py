@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.functions.scalar import bind
 from flowguard.operators.quantiles import exact_percentiles
 from flowguard.operators.scaling import Scaler, fit_scaler
 from flowguard.operators.scores import ScoreStats, collect_stats, log_error, normalise_score, with_verdict
@@ -63,23 +64,40 @@ def reconstruction_error(model: Reconstruction) -> Column:
     return _residual(scaled, model.components)
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
 def _residual(scaled: list[Column], components: tuple[tuple[float, ...], ...]) -> Column:
+    """Unrolled for few features, array functions for wide rows."""
     width, kept = len(scaled), len(components[0])
-    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(scaled)])
+    if width * kept > 256:
+        across = F.array(*[F.array(*[F.lit(row[j]) for row in components]) for j in range(kept)])
+        along = F.array(*[F.array(*[F.lit(v) for v in row]) for row in components])
+
+        def wide(x: Column) -> Column:
+            def error(z: Column) -> Column:
+                rebuilt = F.transform(along, lambda row: _dot(z, row))
+                gaps = F.zip_with(x, rebuilt, lambda u, v: u - v)
+                return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g) / float(width)
+
+            return bind(F.transform(across, lambda row: _dot(x, row)), error)
+
+        return bind(F.array(*scaled), wide)
 
     def add(terms: list[Column]) -> Column:
         return reduce(lambda a, b: a + b, terms)
 
-    def with_codes(r: Column) -> Column:
-        codes = F.array(*[add([r[f"c{i}"] * components[i][j] for i in range(width)]) for j in range(kept)])
+    def narrow(row: Column) -> Column:
+        codes = F.array(*[add([row[i] * components[i][j] for i in range(width)]) for j in range(kept)])
 
         def error(z: Column) -> Column:
-            gaps = [r[f"c{i}"] - add([z[j] * components[i][j] for j in range(kept)]) for i in range(width)]
+            gaps = [row[i] - add([z[j] * components[i][j] for j in range(kept)]) for i in range(width)]
             return add([g * g for g in gaps]) / float(width)
 
-        return F.get(F.transform(F.array(codes), error), F.lit(0))
+        return bind(codes, error)
 
-    return F.get(F.transform(F.array(row), with_codes), F.lit(0))
+    return bind(F.array(*scaled), narrow)
 
 
 def fit_reconstruction(
