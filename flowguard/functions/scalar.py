@@ -18,9 +18,15 @@ def clamp(value: Column, lower: float = 0.0, upper: float = 1.0) -> Column:
 
 
 def strip(value: Column) -> Column:
+    """Without surrounding white space of any kind."""
     return F.btrim(value, F.lit(V.WHITESPACE))
 
 
+def strip_if(value: Column, unusual: Column) -> Column:
+    """``strip``, at the price of a plain trim where only blanks can occur."""
+    return F.when(unusual, strip(value)).otherwise(F.trim(value))
+
+
 def text_or_null(value: Column) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
@@ -85,9 +91,15 @@ def csv_fields(payload: Column) -> Column:
     )
 
 
-def cell(fields: Column, index: int | Column) -> Column:
-    """Trimmed field at ``index``; null when absent or empty."""
-    return text_or_null(F.get(fields, index if isinstance(index, Column) else F.lit(index)))
+def csv_cells(payload: Column, unusual: Column) -> Column:
+    """Trimmed fields; text without quotes or blanks at commas is only split."""
+    messy = payload.contains('"') | payload.contains(" ,") | payload.contains(", ") | unusual
+    return F.when(messy, F.transform(csv_fields(payload), lambda x: strip(x))).otherwise(F.split(payload, ",", -1))
+
+
+def cell(cells: Column, index: int | Column) -> Column:
+    """Cell at ``index``; null when absent or empty."""
+    return F.nullif(F.get(cells, index if isinstance(index, Column) else F.lit(index)), F.lit(""))
 
 
 def bind(value: Column, body) -> Column:
@@ -179,7 +191,7 @@ def canonical_ip(value: Column) -> Column:
         address = bind(F.split(bind(bare, _hex_tail), "::", -1), _compressed)
         return F.coalesce(F.concat(address, scope), text)
 
-    return bind(value, lambda text: F.when(text.contains(":"), rewrite(text)).otherwise(text))
+    return F.when(value.contains(":"), bind(value, rewrite)).otherwise(value)
 
 
 def parse_flag(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowguard import vocabulary as V
-from flowguard.functions.scalar import canonical_ip, cell, csv_fields, integer, pin, port, strip
+from flowguard.functions.scalar import canonical_ip, cell, csv_cells, integer, pin, port, strip_if
 
 _SEP = "\uffff"
 
@@ -19,12 +19,17 @@ EVENT_COLUMNS = [
 ]
 
 
-def _commas(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+def _unusual() -> Column:
+    return F.col("_unusual")
+
+
+def _commas(text: Column, fields: Column) -> Column:
+    counted = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    return F.when(text.contains('"'), counted).otherwise(F.size(fields) - 1)
 
 
 def _looks_like_payload(text: Column, fields: Column) -> Column:
-    return (_commas(text) >= 10) & (F.size(fields) >= 9) & (
+    return (_commas(text, fields) >= 10) & (F.size(fields) >= 9) & (
         F.coalesce(cell(fields, 8).isin("4", "6"), F.lit(False)) | F.lower(text).contains("filterlog")
     )
 
@@ -37,10 +42,12 @@ def split_header(df: DataFrame, line_col: str) -> DataFrame:
     matched = F.size("_parts") == 4
 
     def part(i: int) -> Column:
-        return F.when(matched, strip(F.get("_parts", F.lit(i))))
+        return F.when(matched, strip_if(F.get("_parts", F.lit(i)), _unusual()))
 
     return (
-        df.withColumn("_line", strip(F.make_valid_utf8(line_col)))
+        df.withColumn("_text", F.make_valid_utf8(line_col))
+        .withColumn("_unusual", F.col("_text").rlike(V.UNUSUAL_SPACE_PATTERN))
+        .withColumn("_line", strip_if(F.col("_text"), _unusual()))
         .withColumn("_parts", pin(parts))
         .withColumns(
             {
@@ -71,13 +78,13 @@ def _route(df: DataFrame) -> DataFrame:
     prefixed = has_word & body.rlike(V.PREFIX_PATTERN)
     df = df.withColumn("_prefixed", prefixed).withColumn(
         "_candidate",
-        F.when(F.col("_prefixed"), strip(F.regexp_extract(body, V.PREFIX_PATTERN, 1))).otherwise(body),
-    )
-    df = df.withColumn("_fields", pin(csv_fields(F.col("_candidate"))))
-    like = F.when(F.col("_prefixed"), _looks_like_payload(body, csv_fields(body))).otherwise(
-        _looks_like_payload(body, F.col("_fields"))
+        F.when(F.col("_prefixed"), strip_if(F.regexp_extract(body, V.PREFIX_PATTERN, 1), _unusual())).otherwise(body),
     )
-    df = df.withColumn("_like", like)
+    df = df.withColumn("_fields", pin(csv_cells(F.col("_candidate"), _unusual())))
+    # A prefixed message is also judged as a whole, prefix included.
+    whole = F.when(F.col("_prefixed"), csv_cells(body, _unusual())).otherwise(F.col("_fields"))
+    df = df.withColumn("_whole", pin(whole))
+    df = df.withColumn("_like", pin(_looks_like_payload(body, F.col("_whole"))))
     message = F.lower("syslog_message")
     filterlog_line = F.when(
         F.col("is_syslog"),
@@ -99,7 +106,7 @@ def _route(df: DataFrame) -> DataFrame:
             .otherwise("unknown"),
         }
     ).withColumn(
-        "_readable", F.col("csv_payload").isNotNull() & (F.size("_fields") >= 9)
+        "_readable", pin(F.col("csv_payload").isNotNull() & (F.size("_fields") >= 9))
     )
 
 
@@ -132,8 +139,8 @@ def _fields(df: DataFrame) -> DataFrame:
             ),
             "_protocol_text": by_family(cell(fields, 16), F.when(id_first, second).otherwise(first)),
             "length": integer(by_family(cell(fields, 17), cell(fields, 14))),
-            "source_ip": canonical_ip(by_family(cell(fields, 18), cell(fields, 15))),
-            "destination_ip": canonical_ip(by_family(cell(fields, 19), cell(fields, 16))),
+            "_source": by_family(cell(fields, 18), cell(fields, 15)),
+            "_destination": by_family(cell(fields, 19), cell(fields, 16)),
             "_base": by_family(F.lit(20), F.lit(17)),
         }
     )
@@ -143,15 +150,24 @@ def _fields(df: DataFrame) -> DataFrame:
         F.try_element_at(known, F.col("protocol_id")),
         F.col("protocol_id").cast("string"),
     )
-    df = df.withColumn("protocol", protocol)
+    df = df.withColumns(
+        {
+            "protocol": protocol,
+            "source_ip": canonical_ip(F.col("_source")),
+            "destination_ip": canonical_ip(F.col("_destination")),
+        }
+    )
     ported = F.col("protocol").isin("tcp", "udp")
     icmp = F.col("protocol").isin("icmp", "icmpv6")
     base = F.col("_base")
     transport = F.slice(fields, base + 1, F.greatest(F.size(fields) - base, F.lit(0)))
-    flag = F.get(
-        F.filter(F.transform(transport, lambda x: F.upper(strip(x))), lambda x: x.isin(V.TCP_FLAGS)),
+    listed = F.get(
+        F.filter(F.transform(transport, lambda x: F.upper(x)), lambda x: x.isin(V.TCP_FLAGS)),
         F.lit(0),
     )
+    joined = F.upper(F.array_join(transport, ","))
+    searched = F.nullif(F.regexp_extract(joined, V.FLAG_FIELD_PATTERN, 1), F.lit(""))
+    flag = F.when(F.col("csv_payload").contains('"'), listed).otherwise(searched)
     return df.withColumns(
         {
             "source_port": F.when(ported, port(cell(fields, base))),
@@ -222,9 +238,9 @@ def parse_filterlog(
             "line_number": F.col(line_number_col).cast("long") if line_number_col else F.lit(None).cast("long"),
         }
     )
-    if skip_blank:
-        df = df.where(strip(F.col(line_col)) != "")
     df = split_header(df, line_col)
+    if skip_blank:
+        df = df.where(F.col("_line") != "")
     df = df.withColumn("timestamp", pin(event_time(F.col("timestamp_text"), default_year)))
     df = _finalise(_fields(_route(df)))
     return df.select(*EVENT_COLUMNS, "timestamp_text", *keep)

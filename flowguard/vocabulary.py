@@ -46,6 +46,7 @@ KEY_ALIASES = {
 
 # Log format.
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+UNUSUAL_SPACE_PATTERN = r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0]"
 HEADER_PATTERN = (
     r"(?d)^([A-Z][a-z]{2}\s+\d{1,2}\s+\d\d:\d\d:\d\d"
     r"|\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)"
@@ -57,6 +58,7 @@ PROTOCOL_NAMES = {1: "icmp", 6: "tcp", 17: "udp", 58: "icmpv6"}
 TCP_FLAGS = [
     "S", "SA", "A", "PA", "FA", "FPA", "R", "RA", "FPU", "SYN", "ACK", "RST", "FIN", "PSH",
 ]
+FLAG_FIELD_PATTERN = r"(?:^|,)(" + "|".join(TCP_FLAGS) + r")(?=,|$)"
 
 # Parser message texts.
 PARSE_ERRORS = {
