@@ -104,10 +104,12 @@ def load_datasets(spark: SparkSession, folder: str) -> DataFrame:
     """
     groups: dict[tuple, list[str]] = {}
     for path in list_files(spark, folder):
-        head = read_csv(spark, path).columns
-        kind = dataset_kind(head)
+        first = read_csv(spark, path, header=False).limit(1).collect()
+        head = tuple(str(x) for x in first[0]) if first else ()
+        kind = dataset_kind(list(head))
         if kind is not None:
-            groups.setdefault((kind, sniff_delimiter(spark, path), tuple(head) if kind == "flows" else len(head)), []).append(path)
+            shape = head if kind == "flows" else len(head)
+            groups.setdefault((kind, sniff_delimiter(spark, path), shape), []).append(path)
     parts = []
     for (kind, sep, _), paths in groups.items():
         frame = spark.read.csv(paths, header=kind == "flows", sep=sep, ignoreLeadingWhiteSpace=True)
