@@ -235,7 +235,7 @@ def forest_fit_score(spark, folder):
     """Isolation forest over the embedding vectors."""
     e = vector_columns(tables.table(spark, folder, "embeddings"), "embedding", 64)
     names = [f"f{i}" for i in range(64)]
-    forest = fit_forest(e, names, ForestConfig(n_estimators=100), ["vec_id"])
+    forest = fit_forest(e, names, ForestConfig(n_estimators=100), key_cols=["vec_id"])
     return score_forest(e, forest).select("vec_id", "score_if", "score_if_normalized", "pred_if", "if_confidence")
 
 

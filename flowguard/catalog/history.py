@@ -12,6 +12,7 @@ from flowguard.functions.display import label
 from flowguard.operators import history as H
 from flowguard.operators.distributions import chart_rows, distributions, pair_distribution
 from flowguard.operators.reports import scenario_summary
+from flowguard.operators.single import attach_row
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,10 +158,11 @@ def entity_totals(spark, folder):
 def dashboard(spark, folder):
     totals, recent = H.dashboard(stored(spark, folder), 5)
     newest = recent.agg(F.max("id").alias("newest_id"), F.count("id").alias("recent"))
-    return totals.select(
+    counts = totals.select(
         "total_windows", "total_alerts", "ai_support_count", "ai_support_conservative_count",
         _key("attack_type_distribution", "brute_force"), _key("risk_level_distribution", "low"),
-    ).join(F.broadcast(newest))
+    )
+    return attach_row(counts, newest)
 
 
 def timeline(spark, folder):

@@ -12,6 +12,7 @@ from flowguard.config import EnsembleConfig, ensemble_profile
 from flowguard.functions.scalar import clamp
 from flowguard.operators.evaluation import binary_metrics
 from flowguard.operators.scores import clean_score, log_error
+from flowguard.operators.single import attach_row
 
 
 def band_thresholds(reference: Column, config) -> tuple[Column, Column, Column]:
@@ -171,7 +172,7 @@ def weighted_ensemble(df: DataFrame, config: EnsembleConfig) -> DataFrame:
     """Weighted mean of both scores, each scaled to 0..1.
 
     Forest scores that never exceed zero are flipped first. Extremes come from
-    ``config`` when stored, else from one aggregate joined back as a single row.
+    ``config`` when stored, else from one aggregate attached as a scalar.
     """
     iforest, error = clean_score(F.col("score_if")), log_error(F.col("score_ae"))
     extremes = df.agg(
@@ -201,7 +202,7 @@ def weighted_ensemble(df: DataFrame, config: EnsembleConfig) -> DataFrame:
 
     if_weight, ae_weight = config.weights()
     return (
-        df.join(F.broadcast(extremes))  # exactly one row
+        attach_row(df, extremes)
         .withColumns({"if_score_scaled": scaled("if", oriented), "ae_score_scaled": scaled("ae", error)})
         .withColumn(
             "support_score", clamp(F.col("ae_score_scaled") * ae_weight + F.col("if_score_scaled") * if_weight)

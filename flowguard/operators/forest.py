@@ -11,12 +11,13 @@ from math import ceil, log, log2, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowguard.operators.quantiles import exact_percentiles
 from flowguard.operators.scores import ScoreStats, collect_stats, normalise_score, with_verdict
+from flowguard.session import cut_lineage
 
 MAX_TREE_ROWS = 1_000_000
 MAX_MODEL_NODES = 20_000_000
@@ -120,8 +121,7 @@ def _tree_grower(rows_by_forest: dict[int, int], seed: int):
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         forest_id, tree_id = int(key[0]), int(key[1])
         rows = rows_by_forest[forest_id]
-        pdf = pdf.sort_values(["u", "row_key"], kind="stable").head(rows)
-        x = np.vstack(pdf["x"].to_numpy())
+        x = np.vstack(pdf.sort_values(["u", "row_key"], kind="stable")["x"].to_numpy())
         limit = ceil(log2(max(rows, 2)))
         found = _grow(x, limit, np.random.default_rng([seed, forest_id, tree_id]))
         out = pd.DataFrame(found, columns=["node_id", "feature", "threshold", "left_id", "right_id", "path"])
@@ -133,17 +133,18 @@ def _tree_grower(rows_by_forest: dict[int, int], seed: int):
 
 
 def grow_forests(
-    df: DataFrame, features: list[str], configs: list[ForestConfig], key_cols: list[str] | None = None
+    df: DataFrame, features: list[str], configs: list[ForestConfig], key_cols: list[str]
 ) -> tuple[DataFrame, list[int]]:
     """Node tables of several forests as one grouped job.
 
-    Returns the node table and the rows per tree of each forest.
+    ``key_cols`` identify a row. Ranks inside a tree are cut before the shuffle, so a
+    task never holds more than the rows of its trees. Returns the node table and the
+    rows per tree of each forest.
     """
     total = df.count()
     if total == 0:
         raise ValueError("a forest needs rows")
-    keys = key_cols or features
-    key = F.xxhash64(*keys)
+    key = F.xxhash64(*key_cols)
     sizes = [c.rows_per_tree(total) for c in configs]
     if max(sizes) > MAX_TREE_ROWS:
         raise ValueError(f"max_samples asks for {max(sizes)} rows per tree; {MAX_TREE_ROWS} is the most one tree holds")
@@ -152,7 +153,16 @@ def grow_forests(
         part = tree_samples(df, features, i, config.n_estimators, size, total, config.seed, key)
         parts = part if parts is None else parts.unionByName(part)
     seed = configs[0].seed
-    drawn = parts.withColumn("u", _uniform(F.col("row_key"), F.col("tree_id"), F.lit(seed + 2)))
+    order = Window.partitionBy("forest_id", "tree_id").orderBy("u", "row_key")
+    drawn = (
+        parts.withColumn("u", _uniform(F.col("row_key"), F.col("tree_id"), F.lit(seed + 2)))
+        .withColumn("_rank", F.row_number().over(order))
+        .where(F.col("_rank") <= max(sizes))
+    )
+    if len(set(sizes)) > 1:
+        limits = F.array(*[F.lit(s) for s in sizes])
+        drawn = drawn.where(F.col("_rank") <= F.get(limits, F.col("forest_id")))
+    drawn = drawn.drop("_rank")
     nodes = drawn.groupBy("forest_id", "tree_id").applyInPandas(
         _tree_grower(dict(enumerate(sizes)), seed), NODE_SCHEMA
     )
@@ -217,14 +227,14 @@ def anomaly_score(df: DataFrame, forest: Forest, target: str) -> DataFrame:
 
 def calibrate(df: DataFrame, forest: Forest) -> Forest:
     """Cut-off at the contamination percentile of the training scores, and their statistics."""
-    scored = anomaly_score(df, forest, "_s").select("_s")
+    scored = cut_lineage(anomaly_score(df, forest, "_s").select("_s"))
     offset = exact_percentiles(scored, "_s", [100.0 * forest.config.contamination])[0]
     raw = scored.select((F.lit(offset) - F.col("_s")).alias("raw"))
     return replace(forest, offset=offset, stats=collect_stats(raw, "raw"))
 
 
 def fit_forest(
-    df: DataFrame, features: list[str], config: ForestConfig | None = None, key_cols: list[str] | None = None
+    df: DataFrame, features: list[str], config: ForestConfig | None = None, *, key_cols: list[str]
 ) -> Forest:
     """Grow, then calibrate on all rows."""
     config = config or ForestConfig()

@@ -12,6 +12,7 @@ from flowguard import vocabulary as V
 from flowguard.functions.display import contains_text, label, search_text
 from flowguard.functions.scalar import bool_filter, parse_flag
 from flowguard.operators.distributions import distribution_maps, distributions, key_text
+from flowguard.operators.single import attach_row
 
 LABEL_COLUMNS = ["final_label", "attack_type", "risk_level"]
 WINDOW_SEARCH = [
@@ -123,7 +124,7 @@ def page(df: DataFrame, limit: int = 50, offset: int = 0, order: list[Column] |
 def page_with_total(df: DataFrame, limit: int = 50, offset: int = 0, order: list[Column] | None = None) -> DataFrame:
     """A page whose rows also carry the total of matching rows."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return page(df, limit, offset, order).join(F.broadcast(total))  # exactly one row
+    return attach_row(page(df, limit, offset, order), total)
 
 
 def history_windows(df: DataFrame, filters: dict | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -238,7 +239,7 @@ def live_totals(df: DataFrame) -> DataFrame:
         zero("strong").alias("ai_support_conservative_count"),
     )
     maps = distribution_maps(distributions(cube, LABEL_COLUMNS, F.col("n")), LABEL_COLUMNS)
-    return totals.join(F.broadcast(maps))  # one row each
+    return attach_row(totals, maps)
 
 
 def latest_row(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -270,7 +271,7 @@ def history_summary(
     if results is not None:
         others.append(results.agg(F.count(F.lit(1)).alias("total_results")))
     for one_row in others:
-        summary = summary.join(F.broadcast(one_row))
+        summary = attach_row(summary, one_row)
     return summary
 
 
@@ -321,7 +322,7 @@ def classification(results: DataFrame) -> DataFrame:
     total = cube.agg(
         F.bool_or(anomaly).alias("any"), F.sum("confidence").alias("c"), F.sum("n").alias("n")
     ).withColumnsRenamed({"c": "_c", "n": "_n", "any": "_any"})
-    kept = cube.join(F.broadcast(total)).where(~F.col("_any") | anomaly)  # one row
+    kept = attach_row(cube, total).where(~F.col("_any") | anomaly)
 
     def mode(name: str, rows: DataFrame, default: str, out: str) -> DataFrame:
         per = rows.groupBy(name).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
@@ -331,7 +332,7 @@ def classification(results: DataFrame) -> DataFrame:
 
     attacks = mode("attack_type", kept.where(F.col("attack_type") != "normal"), "normal", "predominant_attack_type")
     risks = mode("risk_level", kept, "low", "predominant_risk_level")
-    return total.join(F.broadcast(attacks)).join(F.broadcast(risks)).select(
+    return attach_row(attach_row(total, attacks), risks).select(
         F.when(F.col("_any"), "anomaly").otherwise("normal").alias("final_status"),
         "predominant_attack_type",
         "predominant_risk_level",

@@ -14,6 +14,7 @@ from flowguard.functions.scalar import bind
 from flowguard.operators.quantiles import exact_percentiles
 from flowguard.operators.scaling import Scaler, fit_scaler
 from flowguard.operators.scores import ScoreStats, collect_stats, log_error, normalise_score, with_verdict
+from flowguard.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,7 @@ def fit_reconstruction(
 ) -> Reconstruction:
     """Components, error threshold at ``percentile`` and statistics of the log error."""
     model = fit_components(df, scaler or fit_scaler(df, features), components)
-    errors = df.select(reconstruction_error(model).alias("e"))
+    errors = cut_lineage(df.select(reconstruction_error(model).alias("e")))
     return with_threshold(model, errors, exact_percentiles(errors, "e", [percentile])[0])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowguard import vocabulary as V
 from flowguard.operators.distributions import distribution_maps, distributions, numeric_summary
+from flowguard.operators.single import attach_row
 
 # Report module -> field -> scored column.
 MODULE_FIELDS = {
@@ -116,7 +117,7 @@ def inference_summary(scored: DataFrame) -> DataFrame:
     numbers = inference_numbers(scored).agg(
         F.map_from_entries(F.collect_list(F.struct("column", F.struct("min", "max", "mean")))).alias("numeric")
     )
-    return maps.join(F.broadcast(numbers))  # one row each
+    return attach_row(maps, numbers)
 
 
 def scenario_summary(scored: DataFrame, lines: DataFrame | None = None, scenario: str = "scenario") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.functions.scalar import clamp, finite, log1p_positive
+from flowguard.operators.single import attach_row
 
 
 @dataclass(frozen=True)
@@ -62,13 +63,13 @@ def normalise_score(df: DataFrame, source: str, target: str, stats: ScoreStats |
     """Score in 0..1 from stored bounds, else from the batch, else by sigmoid.
 
     Without stored bounds the two extremes of the batch come from an aggregate that
-    is joined back as a single row; streams must pass ``stats``.
+    is attached as a scalar; streams must pass ``stats``.
     """
     value = clean_score(F.col(source))
     if stats is not None and stats.ranged:
         return df.withColumn(target, _bounded(value, F.lit(stats.minimum), F.lit(stats.maximum)))
     extremes = df.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    joined = df.join(F.broadcast(extremes))  # exactly one row
+    joined = attach_row(df, extremes)
     return joined.withColumn(
         target,
         F.when(F.col("_high") > F.col("_low"), _bounded(value, F.col("_low"), F.col("_high"))).otherwise(

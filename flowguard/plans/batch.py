@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from flowguard import vocabulary as V
 from flowguard.config import DecisionConfig, EnsembleConfig
-from flowguard.functions.features import sanitize_numeric
+from flowguard.functions.features import resolve_base_features, sanitize_numeric, with_features
 from flowguard.operators.decision import decide
 from flowguard.operators.ensemble import ai_support, ensemble_support
 from flowguard.operators.events import prepare_events
@@ -29,12 +29,15 @@ class ScoringModel:
 
 
 def fit_models(
-    windows: DataFrame, forest: ForestConfig | None = None, percentile: float = 80.0, key_cols: list[str] | None = None
+    windows: DataFrame,
+    forest: ForestConfig | None = None,
+    percentile: float = 80.0,
+    key_cols: tuple[str, ...] = ("window_id",),
 ) -> ScoringModel:
-    """Untuned fit of both detectors on all windows."""
-    keys = key_cols or [n for n in ("window_id",) if n in windows.columns] or None
+    """Untuned fit of both detectors on all windows; several passes, so pass a stored table."""
     return ScoringModel(
-        fit_forest(windows, V.FEATURES, forest, keys), fit_reconstruction(windows, V.FEATURES, percentile=percentile)
+        fit_forest(windows, V.FEATURES, forest, key_cols=list(key_cols)),
+        fit_reconstruction(windows, V.FEATURES, percentile=percentile),
     )
 
 
@@ -59,6 +62,11 @@ def score_windows(
     return decide(ai_support(df), decision, profile=profile)
 
 
+def score_records(records: DataFrame, model: ScoringModel, *, profile: str | None = None) -> DataFrame:
+    """score structured records of the five base values (or the raw flow columns)."""
+    return score_windows(with_features(resolve_base_features(records)), model, profile=profile, context=False)
+
+
 def analyse_lines(
     lines: DataFrame,
     model: ScoringModel,

@@ -56,9 +56,8 @@ def tune_forest(
     for samples, count in dict.fromkeys((c.max_samples, c.n_estimators) for c in grid):
         same = [(i, c) for i, c in enumerate(grid) if (c.max_samples, c.n_estimators) == (samples, count)]
         forest = tree_prefix(grown[samples], same[0][1])
-        cuts = exact_percentiles(
-            anomaly_score(train, forest, "_s"), "_s", [100.0 * c.contamination for _, c in same]
-        )
+        trained = cut_lineage(anomaly_score(train, forest, "_s").select("_s"))
+        cuts = exact_percentiles(trained, "_s", [100.0 * c.contamination for _, c in same])
         options = F.array(
             *[F.struct(F.lit(i).alias("candidate"), F.lit(cut).alias("offset")) for (i, _), cut in zip(same, cuts)]
         )
@@ -81,7 +80,7 @@ def tune_reconstruction(
     """The threshold percentile that does best on validation."""
     percentiles = percentiles or PERCENTILES
     model = fit_components(train, fit_scaler(train, V.FEATURES))
-    errors = train.select(reconstruction_error(model).alias("e"))
+    errors = cut_lineage(train.select(reconstruction_error(model).alias("e")))
     cuts = dict(zip(percentiles, exact_percentiles(errors, "e", percentiles)))
     metrics = cut_lineage(
         threshold_sweep(validation.withColumn("_e", reconstruction_error(model)), "_e", target, cuts)
@@ -138,7 +137,7 @@ def train_tuned(
         [run_strategy(s, part["train"], part["validation"], target, keys, grid) for s in balance_strategies(strategy)]
     )
     refit = cut_lineage(balance(split.where(F.col("split") != "test"), target, keys, best.strategy, seed))
-    forest = fit_forest(refit, V.FEATURES, best.model.forest.config, keys)
+    forest = fit_forest(refit, V.FEATURES, best.model.forest.config, key_cols=keys)
     reconstruction = fit_reconstruction(refit, V.FEATURES, percentile=best.percentile)
     ensemble = replace(best.model.ensemble, ae_reference=reconstruction.threshold)
     return ScoringModel(forest, reconstruction, ensemble), best, split

@@ -52,24 +52,27 @@ def read_if_present(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def insert_new_windows(records: DataFrame, path: str) -> dict[str, int]:
+def insert_new_windows(records: DataFrame, path: str, day_col: str = "window_timestamp") -> dict[str, int]:
     """Append the windows whose ``window_uid`` is not stored yet.
 
-    Rows without an id count as errors. The stored ids are the only column read of
-    the target. New rows are written to reliable storage before the append, so a
-    retry cannot see its own output.
+    Rows without an id count as errors. The target is partitioned by the day of the
+    window, which the id determines, so only the ids of the days at hand are read.
+    New rows are written to reliable storage before the append, so a retry cannot see
+    its own output.
     """
     spark = records.sparkSession
     valid = F.coalesce(F.col("window_uid"), F.lit("")) != ""
-    # One row per id: the choice is made on all columns, so a retry repeats it.
-    rows = records.where(valid)
-    unique = rows.dropDuplicates(["window_uid"])
-    stored = read_if_present(spark, path, records.schema).select("window_uid")
-    fresh = cut_lineage(unique.join(stored, "window_uid", "left_anti").select(*records.columns))
-    counts = records.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("errors")).first()
+    dated = records.withColumn("window_day", F.coalesce(F.to_date(day_col), F.lit("1970-01-01").cast("date")))
+    unique = dated.where(valid).dropDuplicates(["window_uid"])
+    counts = dated.agg(
+        F.count_if(valid).alias("valid"), F.count_if(~valid).alias("errors"),
+        F.min("window_day").alias("low"), F.max("window_day").alias("high"),
+    ).first()
+    stored = read_if_present(spark, path, dated.schema).where(F.col("window_day").between(counts.low, counts.high))
+    fresh = cut_lineage(unique.join(stored.select("window_uid"), "window_uid", "left_anti").select(*dated.columns))
     saved = fresh.count()
     if saved:
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("append").partitionBy("window_day").parquet(path)
     return {"saved": saved, "skipped_duplicates": counts.valid - saved, "errors": counts.errors}
 
 

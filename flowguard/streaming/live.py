@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowguard.operators.events import prepare_events
 from flowguard.operators.parse import parse_filterlog
-from flowguard.operators.reports import live_records
+from flowguard.operators.reports import live_records, row_reports
+from flowguard.operators.single import attach_row
 from flowguard.operators.windows import finish_windows, fold_values, value_counts, window_features, window_seconds
 from flowguard.plans.batch import ScoringModel, score_windows
 from flowguard.sources.logs import read_lines, stream_lines
@@ -41,7 +42,7 @@ def streaming_windows(
 def split_closed(events: DataFrame, window: str | int = 60, flush: bool = False) -> tuple[DataFrame, DataFrame]:
     """Events of finished buckets and those of the newest bucket.
 
-    For runs without a stream; the newest bucket is one row joined to the events.
+    For runs without a stream; the newest bucket is attached as a scalar.
     """
     seconds = window_seconds(window)
     if flush:
@@ -49,7 +50,7 @@ def split_closed(events: DataFrame, window: str | int = 60, flush: bool = False)
     bucket = F.window("timestamp", f"{seconds} seconds").start
     keyed = events.withColumn("_bucket", bucket)
     newest = keyed.agg(F.max("_bucket").alias("_newest"))
-    joined = keyed.join(F.broadcast(newest))  # exactly one row
+    joined = attach_row(keyed, newest)
     drop = ("_bucket", "_newest")
     return (
         joined.where(F.col("_bucket") < F.col("_newest")).drop(*drop),
@@ -57,15 +58,20 @@ def split_closed(events: DataFrame, window: str | int = 60, flush: bool = False)
     )
 
 
-def write_batch(model: ScoringModel, target: str, source_path: str, profile: str | None = None):
-    """Score the closed windows of a micro-batch and insert those not stored.
+def write_batch(
+    model: ScoringModel, target: str, source_path: str, profile: str | None = None, reports: str | None = None
+):
+    """Score the closed windows of a micro-batch and insert those not stored.
 
-    The checkpoint advances after this returns; a repeated batch inserts nothing new.
+    The checkpoint advances after this returns; a repeated batch inserts nothing new and
+    replaces its own report folder.
     """
 
     def write(windows: DataFrame, batch_id: int) -> None:
         scored = score_windows(windows, model, profile=profile)
         insert_new_windows(live_records(scored, source_path=source_path, execution_id=f"batch-{batch_id}"), target)
+        if reports:
+            row_reports(scored).write.mode("overwrite").json(f"{reports}/batch={batch_id}")
 
     return write
 
@@ -84,6 +90,7 @@ def start_live(
     poll: str = "1 second",
     finite: bool = False,
     addresses: str = "any",
+    reports: str | None = None,
 ) -> StreamingQuery:
     """Follow a landing folder, score closed windows, keep them once."""
     events = prepare_events(parse_filterlog(stream_lines(spark, folder), default_year=default_year))
@@ -91,7 +98,7 @@ def start_live(
         streaming_windows(events, window, delay=delay, addresses=addresses)
         .writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(write_batch(model, target, folder, profile))
+        .foreachBatch(write_batch(model, target, folder, profile, reports))
     )
     writer = writer.trigger(availableNow=True) if finite else writer.trigger(processingTime=poll)
     return writer.start()

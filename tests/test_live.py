@@ -11,7 +11,7 @@ from flowguard.operators.forest import ForestConfig
 from flowguard.operators.parse import parse_filterlog
 from flowguard.operators.reports import live_records, row_reports, scenario_summary
 from flowguard.operators.windows import window_features
-from flowguard.plans.batch import analyse_lines, fit_models, score_windows
+from flowguard.plans.batch import analyse_lines, fit_models, score_records, score_windows
 from flowguard.sources import sinks
 from flowguard.sources.logs import read_lines
 from flowguard.streaming.live import replay, run_metrics, split_closed, start_live
@@ -88,6 +88,15 @@ def test_reports_nest_modules(scored):
     assert r.decision_engine.decision_source
 
 
+def test_structured_records(spark, model):
+    rows = spark.createDataFrame(
+        [(7000.0, 900000.0, 7000.0, 128.0, 3.0), (3.0, 240.0, 3.0, 80.0, 1.0)],
+        "connections double, bytes double, packets double, packet_size double, ports double",
+    )
+    got = {r.connections: r.heuristic_attack_type for r in score_records(rows, model).collect()}
+    assert got == {7000.0: "ddos", 3.0: "normal"}
+
+
 def test_insert_is_idempotent(spark, scored, tmp_path):
     target = str(tmp_path / "live")
     records = live_records(scored.where("scenario = 'port_scan'"), source_path="/var/log/filter.log", execution_id="e1", created_at="2024-03-01 12:00:00")

@@ -27,7 +27,7 @@ NAMES = ["a", "b", "c"]
 
 
 def test_forest_finds_outliers(points):
-    forest = fit_forest(points, NAMES, ForestConfig(n_estimators=100, contamination=0.02), ["id"])
+    forest = fit_forest(points, NAMES, ForestConfig(n_estimators=100, contamination=0.02), key_cols=["id"])
     scored = score_forest(points, forest)
     top = [r.id for r in scored.orderBy(F.desc("score_if")).limit(6).collect()]
     assert set(top) == set(range(6))
