@@ -118,7 +118,7 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
 
 
 def _tree_grower(rows_by_forest: dict[int, int], seed: int):
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         forest_id, tree_id = int(key[0]), int(key[1])
         rows = rows_by_forest[forest_id]
         x = np.vstack(pdf.sort_values(["u", "row_key"], kind="stable")["x"].to_numpy())
