@@ -231,15 +231,27 @@ def _label_cube(df: DataFrame) -> DataFrame:
 def live_totals(df: DataFrame) -> DataFrame:
     """Totals, AI-support counts and three distributions; one row."""
     cube = _label_cube(df)
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    totals = cube.agg(
-        zero("n").alias("total_windows"),
-        zero(F.when(F.col("final_label") == "anomaly", F.col("n"))).alias("total_alerts"),
-        zero("ai").alias("ai_support_count"),
-        zero("strong").alias("ai_support_conservative_count"),
+    rolled = cube.groupingSets([[], *[[F.col(c)] for c in LABEL_COLUMNS]], *LABEL_COLUMNS).agg(
+        F.grouping_id().alias("_level"),
+        *[F.sum(c).cast("long").alias(c) for c in ("n", "ai", "strong")],
+    )
+    # The grouping id has a bit per label that was rolled up.
+    every = 2 ** len(LABEL_COLUMNS) - 1
+    level = {c: every - 2 ** (len(LABEL_COLUMNS) - 1 - i) for i, c in enumerate(LABEL_COLUMNS)}
+    total = lambda c: F.coalesce(F.max(F.when(F.col("_level") == every, F.col(c))), F.lit(0))
+    alerts = (F.col("_level") == level["final_label"]) & (F.col("final_label") == "anomaly")
+    return rolled.agg(
+        total("n").alias("total_windows"),
+        F.coalesce(F.max(F.when(alerts, F.col("n"))), F.lit(0)).alias("total_alerts"),
+        total("ai").alias("ai_support_count"),
+        total("strong").alias("ai_support_conservative_count"),
+        *[
+            F.map_from_entries(
+                F.sort_array(F.collect_list(F.when(F.col("_level") == level[c], F.struct(F.col(c).alias("value"), "n"))))
+            ).alias(f"{c}_distribution")
+            for c in LABEL_COLUMNS
+        ],
     )
-    maps = distribution_maps(distributions(cube, LABEL_COLUMNS, F.col("n")), LABEL_COLUMNS)
-    return attach_row(totals, maps)
 
 
 def latest_row(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
