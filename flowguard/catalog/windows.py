@@ -15,11 +15,11 @@ WINDOW_30D = "30 days"
 
 
 def fw_windows(spark, folder):
-    return window_features(tables.fw(spark, folder), WINDOW_6H, sequence_col="event_id", addresses="ipv4")
+    return window_features(tables.fw(spark, folder), WINDOW_6H, sequence_col="event_id", addresses="ipv4", free_flags=False)
 
 
 def scan_windows(spark, folder):
-    return window_features(tables.scan(spark, folder), WINDOW_30D, sequence_col="event_id", addresses="ipv4")
+    return window_features(tables.scan(spark, folder), WINDOW_30D, sequence_col="event_id", addresses="ipv4", free_flags=False)
 
 
 def window_core(spark, folder):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from flowguard import vocabulary as V
 from flowguard.functions.features import derived_features
+from flowguard.functions.scalar import pin
 
 ATTRIBUTES = ["protocol", "action", "interface", "destination_ip", "destination_port", "tcp_flags"]
 _PROTOCOL, _ACTION, _INTERFACE, _DESTINATION, _PORT, _FLAG = range(6)
@@ -79,14 +80,23 @@ def order_key(start: Column, seconds: int, sequence: Column, addresses: str) ->
     return (offset * shift(25) + address * shift(15) + sequence.cast("decimal(15,0)")).cast("decimal(38,0)")
 
 
+def _known_flags(flags: Column) -> Column:
+    """The flag text; stops the job on one the parser cannot produce."""
+    message = F.concat(F.lit("unknown flag text, use free_flags=True: "), flags)
+    return F.when(flags.isin("", *V.TCP_FLAGS) | flags.isNull(), flags).otherwise(F.raise_error(message).cast("string"))
+
+
 def value_counts(
-    events: DataFrame, key: str, start: Column, seconds: int, sequence: Column, addresses: str
+    events: DataFrame, key: str, start: Column, seconds: int, sequence: Column, addresses: str, free_flags: bool = False
 ) -> DataFrame:
     """Occurrences and first appearance of every attribute value in every window."""
+    texts = {n: F.col(n).cast("string") for n in ATTRIBUTES}
+    if not free_flags:
+        texts["tcp_flags"] = _known_flags(texts["tcp_flags"])
     pairs = F.array(
         *[
-            F.struct(F.lit(i).alias("attribute"), F.nullif(F.col(n).cast("string"), F.lit("")).alias("value"))
-            for i, n in enumerate(ATTRIBUTES)
+            F.struct(F.lit(i).alias("attribute"), F.nullif(text, F.lit("")).alias("value"))
+            for i, text in enumerate(texts.values())
         ]
     )
     once = F.col("attribute") == _ACTION
@@ -156,7 +166,8 @@ def fold_values(counts: DataFrame, key: str, flags: bool = True) -> DataFrame:
 
 def _ranked_flags(counts: DataFrame, key: str) -> DataFrame:
     """Flag summaries when flag texts are free-form: only the leading rows are gathered."""
-    order = Window.partitionBy(key, "source_ip").orderBy(F.desc("n"), "first")
+    # The sums are null for flags; naming them keeps this branch on the same exchange.
+    order = Window.partitionBy(key, "source_ip").orderBy(F.desc("n"), "first", "bytes", "packets")
     leading = (
         counts.where(F.col("attribute") == _FLAG)
         .withColumn("_rank", F.row_number().over(order))
@@ -196,19 +207,23 @@ def window_features(
     *,
     sequence_col: str | None = None,
     addresses: str = "any",
-    free_flags: bool = False,
+    free_flags: bool = True,
     id_suffix: str = "",
 ) -> DataFrame:
     """Window table of prepared events (21 metadata columns, 13 features).
 
     ``sequence_col`` is the input order that settles ties between events of one
-    instant and destination. Set ``free_flags`` when flag texts come from elsewhere
-    than the parser and may take any number of values in one window.
+    instant and destination. Free flag texts are ranked before they are gathered;
+    without ``free_flags`` only the fourteen texts of the parser are accepted, which
+    bounds what a window gathers and saves the ranking.
     """
     seconds = window_seconds(window)
     sequence = F.col(sequence_col) if sequence_col else F.lit(0).cast("long")
     keyed = events.withColumn("_start", F.window("timestamp", f"{seconds} seconds").start)
-    counts = value_counts(keyed, "_start", F.col("_start"), seconds, sequence, addresses)
+    counts = value_counts(keyed, "_start", F.col("_start"), seconds, sequence, addresses, free_flags)
+    if free_flags:
+        # Kept above the exchange, so that both branches below share it.
+        counts = counts.withColumn("attribute", pin(F.col("attribute")))
     folded = fold_values(counts, "_start", flags=not free_flags)
     if free_flags:
         folded = folded.join(_ranked_flags(counts, "_start"), ["_start", "source_ip"], "left").withColumn(

@@ -85,5 +85,5 @@ def analyse_lines(
     )
     sequence = "line_number" if line_number_col else None
     return score_windows(
-        window_features(events, window, sequence_col=sequence, addresses=addresses), model, profile=profile
+        window_features(events, window, sequence_col=sequence, addresses=addresses, free_flags=False), model, profile=profile
     )

@@ -112,7 +112,7 @@ def replay(
     events = prepare_events(
         parse_filterlog(lines, default_year=default_year, keep=("read_order",)), keep=("read_order",)
     )
-    return score_windows(window_features(events, window, sequence_col="read_order"), model, profile=profile)
+    return score_windows(window_features(events, window, sequence_col="read_order", free_flags=False), model, profile=profile)
 
 
 def run_metrics(query: StreamingQuery) -> DataFrame:

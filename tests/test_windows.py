@@ -73,7 +73,7 @@ def test_matches_brute_force(spark, events):
         (i, START + timedelta(seconds=e[0]), e[1], e[2], e[3], e[4], e[5], e[6], e[7], float(e[8]), 1.0)
         for i, e in enumerate(events)
     ]
-    for options in ({"addresses": "any"}, {"addresses": "ipv4", "free_flags": True}):
+    for options in ({"addresses": "any"}, {"addresses": "ipv4", "free_flags": False}):
         check(spark, rows, 10, **options)
 
 
@@ -84,6 +84,21 @@ def test_text_addresses_need_any(spark):
         window_features(spark.createDataFrame(rows, SCHEMA), 5, addresses="ipv4").collect()
 
 
+def test_free_flags_share_one_exchange(spark):
+    rows = [(i, START, "10.0.0.1", "tcp", "block", "em0", "1.1.1.1", 5, f"X{i % 7}", 1.0, 1.0) for i in range(70)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        windows = window_features(df, 5, sequence_col="seq")
+        plan = windows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan
+    assert windows.first().tcp_flags_summary == "X0:10,X1:10,X2:10,X3:10,X4:10"
+    with pytest.raises(Exception, match="unknown flag text"):
+        window_features(df, 5, free_flags=False).collect()
+
+
 def test_partitioning_does_not_change_windows(spark):
     rows = [
         (i, START + timedelta(seconds=i % 17), f"10.0.0.{i % 3}", "tcp", "block", "em0", "1.1.1.1", i % 40, "S", 50.0, 1.0)
