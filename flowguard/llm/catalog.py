@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.llm.common import table
+from flowguard.llm.decontaminate import contaminated
 from flowguard.llm.neardup import near_components
+from flowguard.llm.packing import pack
+from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
+from flowguard.llm.toxicity import fit_labels, score_texts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +23,38 @@ def _query(function):
     return function
 
 
+@_query
+def op1_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by a factorization machine."""
+    docs = table(spark, folder, "documents")
+    return score_texts(docs, fit_labels(docs, table(spark, folder, "labels")))
+
+
+@_query
+def op3_benchmark_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents within their edit budget."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _is_kind(kind: str, span: Column) -> Column:
+    return span["kind"] == kind
+
+
+@_query
+def op7_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document from the blob ledger."""
+    paths, _ = scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
+    counts = [F.size(F.filter("spans", partial(_is_kind, r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
+    return paths.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
+@_query
+def op8_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Bucket, batch and slot of every document."""
+    return pack(table(spark, folder, "documents"))
+
+
 @_query
 def op9_minhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components over 2-word shingles."""
