@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import CACHE_WORDS, bounded_batches
+from flowguard.llm.common import CACHE_WORDS, bounded_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -82,15 +82,30 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled_terms(docs: DataFrame, labels: DataFrame, config: FactorizationConfig) -> tuple[list[np.ndarray], np.ndarray]:
     """Term sets and labels of the sampled training rows, at most ``sample_rows`` of them.
 
+    The terms are counted in Spark; the driver gets the telling ones and the sets cut to them.
     Labels count only where crc32 of the id's text leaves a remainder other than 1 by 3.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(config.seed)), "doc_id").limit(config.sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInArrow(_terms, "doc_id long, terms array<int>, toxic int").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    lists = rows.column("terms").combine_chunks() if rows.num_rows else []
-    return [np.asarray(x.values.to_numpy()) for x in lists], np.asarray(rows.column("toxic").to_numpy(), dtype=np.float64)
+    rows = written(texts.mapInArrow(_terms, "doc_id long, terms array<int>, toxic int").dropDuplicates(["doc_id"]), "terms")
+    total, hits = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = hits / max(1, total)
+    spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+    counts = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
+    ranked = counts.where(F.col("n") >= config.min_rows).withColumn("surplus", F.abs(F.col("p") - F.col("n") * share) / spread)
+    best = ranked.where(F.col("surplus") >= config.least_surplus).orderBy(F.desc("surplus"), "term").limit(config.max_terms)
+    terms = np.sort(np.array([r.term for r in best.select("term").collect()], dtype=np.int32))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(x.values.to_numpy(), terms) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "terms", "toxic"])
+
+    few = rows.mapInArrow(chosen, rows.schema).collect()
+    few.sort(key=lambda r: r.doc_id)
+    return [np.array(r.terms, dtype=np.int32) for r in few], np.array([r.toxic for r in few], dtype=np.float64)
 
 
 def fit(term_sets: list[np.ndarray], toxic: np.ndarray, config: FactorizationConfig = FactorizationConfig()) -> FactorizationModel:
