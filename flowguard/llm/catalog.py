@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import partial
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowguard.llm.common import table
 from flowguard.llm.decontaminate import contaminated
+from flowguard.llm.html_text import extract_text
 from flowguard.llm.neardup import near_components
 from flowguard.llm.packing import pack
 from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
+from flowguard.llm.token_counts import section_counts
+from flowguard.llm.topk import top_inner_products, whole_vectors
 from flowguard.llm.toxicity import fit_labels, score_texts
 
 QUERIES = {}
@@ -36,6 +40,34 @@ def op3_benchmark_matches(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@_query
+def op4_line_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return section_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op5_top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten best inner products of every twentieth vector against all rows."""
+    return top_inner_products(whole_vectors(table(spark, folder, "embeddings")), F.col("vec_id") % 20 == 0, 10)
+
+
+ORACLES["op5_top_inner_products"] = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS vector
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+         CAST(list_sum([p[1] * p[2] for p in list_zip(q.vector, r.vector)]) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def _is_kind(kind: str, span: Column) -> Column:
     return span["kind"] == kind
 
@@ -59,3 +91,9 @@ def op8_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
 def op9_minhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components over 2-word shingles."""
     return near_components(table(spark, folder, "documents"), width=2, percent=80)
+
+
+@_query
+def op10_page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, folder, "pages"))
