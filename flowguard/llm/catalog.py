@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import table
+from flowguard.llm.common import table, written
 from flowguard.llm.decontaminate import contaminated
+from flowguard.llm import hpylm
 from flowguard.llm.html_text import extract_text
 from flowguard.llm.neardup import near_components
 from flowguard.llm.packing import pack
 from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
 from flowguard.llm.token_counts import section_counts
+from flowguard.llm.token_file import encode_segments, read_documents
 from flowguard.llm.topk import top_inner_products, whole_vectors
 from flowguard.llm.toxicity import fit_labels, score_texts
 
@@ -34,6 +36,12 @@ def op1_toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(docs, fit_labels(docs, table(spark, folder, "labels")))
 
 
+@_query
+def op2_hpylm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under a hierarchical Pitman-Yor model."""
+    return hpylm.score_texts(table(spark, folder, "documents"))
+
+
 @_query
 def op3_benchmark_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in documents within their edit budget."""
@@ -68,6 +76,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+@_query
+def op6_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written as coded segments and read back."""
+    segments = encode_segments(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(written(segments, "tokens"))
+
+
 def _is_kind(kind: str, span: Column) -> Column:
     return span["kind"] == kind
 
