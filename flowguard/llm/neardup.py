@@ -6,9 +6,11 @@ Class representatives get ``BANDS`` x ``ROWS`` minima; equal bands make candidat
 agreement of two signatures drops candidates far below the wanted similarity. What remains
 is confirmed on the full sets, and confirmed links are joined into components.
 
-Candidate groups never become all their pairs. Rounds link every member to one pivot of its
-group (a different pivot each round) and contract what is linked; only members that are in
-different components afterwards are compared with one another, by signature, in blocks.
+Candidate groups never become all their pairs. Each group sends on a spanning forest of
+its near signatures, and the forests of all groups join into candidate clusters; every
+wanted link lies inside one cluster. A cluster is first tied to one pivot by confirmed
+links. Only members that this leaves apart are compared with the others on their full
+sets, in pairs of blocks, and each pair of blocks sends on a spanning forest again.
 
 A pair at similarity 0.8 misses all bands with probability (1 - 0.8**5)**40 = 1.3e-7, and
 the signature filter with less than 1e-8 (six standard deviations).
@@ -29,9 +31,9 @@ from flowguard.llm.common import WordHashes, bounded_batches, mix, shingles_of,
 BANDS = 40
 ROWS = 5
 BITS = 4
-PIVOT_ROUNDS = 3
 PART = 64
-BLOCK = 2048
+GROUP_BLOCK = 2048
+BLOCK = 256
 
 _K = BANDS * ROWS
 _SEEDS = mix(np.arange(1, 2 * _K + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -198,27 +200,81 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def _blocks(least: float):
-    """Rows (key, id, component, block, signature) of one pair of blocks of one group."""
+def forest(near, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of a graph between two lists of positions (equal lists: within one).
+
+    ``near(i, others)`` picks the neighbours of a position among others. Each position is
+    compared only with those not reached yet, so a dense group costs about one comparison
+    per member.
+    """
+    within = first is second
+    waiting = [first, first] if within else [first, second]
+    waiting = [w.copy() for w in waiting]
+    side_of = {int(i): 0 for i in first} if within else {int(i): 0 for i in first} | {int(i): 1 for i in second}
+    edges, left = [], set(side_of)
+    for start in list(side_of):
+        if start not in left:
+            continue
+        left.discard(start)
+        queue = [start]
+        while queue:
+            i = queue.pop()
+            side = 0 if within else 1 - side_of[i]
+            waiting[side] = waiting[side][[int(j) in left for j in waiting[side]]] if len(waiting[side]) else waiting[side]
+            for j in near(i, waiting[side]) if len(waiting[side]) else ():
+                edges.append((i, int(j)))
+                left.discard(int(j))
+                queue.append(int(j))
+    return edges
+
+
+def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(edges, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": ids[at].min(axis=1, initial=np.iinfo(np.int64).max), "b": ids[at].max(axis=1, initial=np.iinfo(np.int64).min)})
+
+
+def _signature_words(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    block = table.column("block").to_numpy()
+    first, second = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    one = np.flatnonzero(block == first)
+    return one, one if first == second else np.flatnonzero(block == second)
+
+
+def _near_signatures(least: float):
+    """Rows (key, id, block, one, two, signature) of one pair of blocks of one candidate group."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        group = table.column("component").to_numpy()
-        block = table.column("block").to_numpy()
-        first, second = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        words = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        left, right = [], []
-        inside = np.flatnonzero(block == second)
-        for i in np.flatnonzero(block == first):
-            other = inside[inside > i] if first == second else inside
-            other = other[group[other] != group[i]]
-            other = other[similarity(words[i], words[other]) >= least]
-            left.append(np.minimum(ids[i], ids[other])), right.append(np.maximum(ids[i], ids[other]))
-        return pa.table({"a": np.concatenate([*left, np.zeros(0, np.int64)]), "b": np.concatenate([*right, np.zeros(0, np.int64)])})
+        words = _signature_words(table)
+        return _edges(table.column("id").to_numpy(), forest(lambda i, others: others[similarity(words[i], words[others]) >= least], *_sides(table)))
 
     return run
 
 
+def _near_sets(width: int, percent: int, least: float):
+    """The same on full sets, for rows that also hold the text and the component so far."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, words, group = WordHashes(), _signature_words(table), table.column("component").to_numpy()
+        sets = [shingles_of(hashes.of(words_of(t)), width) for t in table.column("text").to_pylist()]
+
+        def near(i: int, others: np.ndarray) -> list[int]:
+            others = others[(group[others] != group[i]) & (similarity(words[i], words[others]) >= least)]
+            return [j for j in others if _near(sets[i], sets[j], percent)]
+
+        return _edges(table.column("id").to_numpy(), forest(near, *_sides(table)))
+
+    return run
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Rows dealt to the pairs of blocks of their key: every two blocks, and each with itself."""
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("blocks", "other")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of near copies of every row: doc_id, n_shingles, component_id, kept.
 
@@ -244,22 +300,20 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     repeated = written(_repeated_links(sets, classes), "repeated")
     labels = components(repeated) if repeated.limit(1).count() else None
-    for turn in range(PIVOT_ROUNDS + 1):
-        known = groups.withColumn("component", F.col("id"))
-        if labels is not None:
-            known = groups.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        open_groups = known.join(mixed, "key")
-        if turn < PIVOT_ROUNDS:
-            pairs = _estimated(_pivot_pairs(open_groups, turn), signatures, least)
-        else:
-            pairs = _cross_pairs(open_groups, signatures, least)
-        pairs = written(pairs.distinct(), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        links = written(confirm_links(pairs, texts, width, percent), "confirmed")
+    sized = groups.groupBy("key").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(sized, "key").join(signatures, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    trees = written(_pairs_of_blocks(dealt).groupBy("key", "one", "two").applyInArrow(_near_signatures(least), "a long, b long").distinct(), "trees")
+    if trees.limit(1).count():
+        clusters = components(trees).withColumnRenamed("component", "cluster")
+        pivots = clusters.where("id <> cluster").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+        links = written(confirm_links(pivots, texts, width, percent), "confirmed")
         if links.limit(1).count():
             labels = components(links, labels)
+        apart = _apart(clusters, labels)
+        rows = apart.join(signatures, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+        more = written(rows.groupBy("cluster", "one", "two").applyInArrow(_near_sets(width, percent, least), "a long, b long").distinct(), "confirmed")
+        if more.limit(1).count():
+            labels = components(more, labels)
     if labels is not None:
         members = members.join(labels, members.rep == labels.id, "left").withColumn("rep", F.coalesce("component", "rep"))
     found = members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
@@ -273,41 +327,22 @@ def _repeated_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return span.where("a <> b").select("a", F.explode("reps").alias("b")).where("a <> b")
 
 
-def _pivot_pairs(groups: DataFrame, turn: int) -> DataFrame:
-    """One pair per member: with the pivot of its group, if in another component."""
-    order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("rank"), F.col("id"), F.col("component"))
-    pivots = groups.groupBy("key").agg(F.min(order).alias("p"))
-    return (
-        groups.join(pivots, "key").where("component <> p.component")
-        .select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"), F.col("p.id").alias("a"), F.col("id").alias("b"))
-        .groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("s")).select("s.a", "s.b")
-    )
+def _apart(clusters: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the clusters that are not one component yet, dealt to pairs of blocks.
 
-
-def _estimated(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures do not rule the wanted similarity out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
-            near = pa.array(similarity(one, two) >= least)
-            yield batch.select(["a", "b"]).filter(near)
-
-    left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-    right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _cross_pairs(groups: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in one group with near signatures, block by block."""
-    sized = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(sized, "key").join(signatures, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", "component", "block", "signature", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-    )
-    return dealt.groupBy("key", "one", "two").applyInArrow(_blocks(least), "a long, b long")
+    Blocks 0 to ``home - 1`` hold the pivot's component, whose members need no comparison
+    among themselves; the others meet every block.
+    """
+    known = clusters.withColumn("component", F.col("id"))
+    if labels is not None:
+        known = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = known.join(known.where("id = cluster").select("cluster", F.col("component").alias("pivot")), "cluster")
+    inside = F.col("component") == F.col("pivot")
+    sizes = known.groupBy("cluster").agg(F.ceil(F.count_if(inside) / BLOCK).cast("int").alias("home"), F.ceil(F.count_if(~inside) / BLOCK).cast("int").alias("away")).where("away > 0")
+    placed = known.join(sizes, "cluster").withColumn("block", F.when(inside, F.pmod(F.xxhash64("id"), "home")).otherwise(F.col("home") + F.pmod(F.xxhash64("id"), "away")).cast("int"))
+    first = F.when(inside, F.col("home")).otherwise(F.lit(0))
+    dealt = placed.withColumn("other", F.explode(F.sequence(first, F.col("home") + F.col("away") - 1)))
+    return dealt.select("cluster", "id", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
