@@ -1,0 +1,28 @@
+"""The pipeline's stages on the smallest tables and the registration of every query."""
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from flowguard.llm import decontaminate, neardup, secrets
+from flowguard.llm.common import table
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_every_operator_is_registered():
+    names = entry.queries()
+    assert "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+
+
+def test_stages_take_effect(spark):
+    docs = table(spark, FOLDER, "documents")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.written(stage(spark, docs, FOLDER), name)
+        assert docs.columns == columns and 0 < docs.count() <= before
+    assert neardup.near_components(docs, 5, 80).where("not kept").count() == 0
+    assert decontaminate.contaminated(docs, table(spark, FOLDER, "benchmark")).count() == 0
+    assert secrets.scan(docs)[0].where("size(spans) > 0").count() == 0
+    packed = corpus_pipeline.packing(spark, docs, FOLDER)
+    assert packed.count() == docs.count()
