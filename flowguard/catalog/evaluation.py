@@ -186,7 +186,7 @@ def sweep_best(spark, folder):
 
 def sweep_ensemble(spark, folder):
     s = scores(spark, folder).withColumn("target", (F.col("score_if_normalized") > 0.6).cast("int"))
-    swept = ensemble_sweep(s, "target", sweep_candidates(clipped=False, thresholds=(0.30, 0.60)), 1.0)
+    swept = ensemble_sweep(s, "target", sweep_candidates(clipped=False), 1.0)
     return swept.select("candidate", "tn", "fp", "fn", "tp")
 
 
@@ -311,7 +311,7 @@ _DELTA = ", ".join(
 _SWEEP = f"""h AS ({HIST}), o AS (SELECT * FROM (VALUES (CAST(80 AS DOUBLE), CAST(0.25 AS DOUBLE)), (85, 0.5), (90, 1.0), (95, 1.5)) v(percentile, threshold)),
 x AS (SELECT percentile, threshold, CASE WHEN if_norm > 0.6 THEN 1 ELSE 0 END AS t, CASE WHEN autoencoder_score > threshold THEN 1 ELSE 0 END AS p FROM h, o),
 c AS (SELECT percentile, threshold, {_CM} FROM x GROUP BY ALL), m AS (SELECT percentile, threshold, {_M} FROM c)"""
-_CANDIDATES = sweep_candidates(clipped=False, thresholds=(0.30, 0.60))
+_CANDIDATES = sweep_candidates(clipped=False)
 
 
 def _sweep_sql() -> str:

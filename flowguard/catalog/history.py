@@ -88,7 +88,7 @@ def hist_lookup(spark, folder):
 def hist_text_filter(spark, folder):
     rows = H.compact_windows(stored(spark, folder))
     return H.text_filter(
-        rows, {"src_ip": "0.0.3", "protocol": "TCP", "action": "BLÓCK"}, only_anomalies=True,
+        rows, {"src_ip": "0.0.2", "protocol": "TCP", "action": "BLÓCK"}, only_anomalies=True,
         date_from="2024-01-02", date_to="2024-01-28T12:00:00",
     ).select("id", "src_ip", "protocol")
 
@@ -310,7 +310,7 @@ ORACLES = {
     "hist_alerts": f"{_H} SELECT {_COLS} FROM s WHERE final_label = 'anomaly' AND attack_type = 'port_scan' ORDER BY t DESC, id DESC LIMIT 30",
     "live_page": f"{_H} SELECT {_COLS} FROM s ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 5",
     "hist_lookup": f"{_H} SELECT {_COLS} FROM s WHERE id = 77",
-    "hist_text_filter": f"""{_H} SELECT id, src_ip, protocol FROM s WHERE final_label = 'anomaly' AND contains(src_ip, '0.0.3')
+    "hist_text_filter": f"""{_H} SELECT id, src_ip, protocol FROM s WHERE final_label = 'anomaly' AND contains(src_ip, '0.0.2')
  AND protocol = 'tcp' AND created_at >= TIMESTAMP '2024-01-02' AND created_at <= TIMESTAMP '2024-01-28 12:00:00'""",
     "hist_search": f"{_H} SELECT id, execution_id FROM s WHERE execution_id LIKE '%exec-7'",
     "hist_search_features": f"{_H} SELECT id FROM s WHERE id % 40 = 39 AND if_norm = CAST(0.39 AS DOUBLE)",

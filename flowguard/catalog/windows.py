@@ -55,6 +55,14 @@ def window_flags_free(spark, folder):
     return windows.select("window_id", "tcp_flags_summary")
 
 
+def window_null_action(spark, folder):
+    """Totals keep the events that have no action or protocol."""
+    missing = F.col("event_id") % 4 == 0
+    events = tables.fw(spark, folder).withColumn("action", F.when(~missing, F.col("action"))).withColumn("protocol", F.when(missing, "").otherwise(F.col("protocol")))
+    windows = window_features(events, WINDOW_6H, sequence_col="event_id", addresses="ipv4", free_flags=False)
+    return windows.select("source_ip", "window_start", "event_count", "bytes", "blocked_count", "passed_count")
+
+
 def window_full(spark, folder):
     windows = ordered_windows(fw_windows(spark, folder))
     rounded = {n: F.round(n, 9) for n in V.LOG_FEATURES}
@@ -70,8 +78,8 @@ def attack_distribution(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        window_core, window_distinct, window_modes, window_topk_ports, window_flags, window_flags_free, window_full,
-        attack_distribution,
+        window_core, window_distinct, window_modes, window_topk_ports, window_flags, window_flags_free, window_null_action,
+        window_full, attack_distribution,
     )
 }
 
@@ -167,6 +175,9 @@ ORACLES = {
     "window_modes": f"SELECT window_id, protocol, action, interface, destination_ip_sample FROM ({MODES_SQL})",
     "window_topk_ports": f"SELECT window_id, common_destination_ports FROM ({SCAN_SQL})",
     "window_flags": f"SELECT window_id, tcp_syn_count, tcp_pa_count, tcp_flags_summary FROM ({MODES_SQL})",
+    "window_null_action": f"""WITH src AS ({FW}), e AS (SELECT *, time_bucket(INTERVAL '6 hours', timestamp, TIMESTAMP '1970-01-01') AS ws FROM src)
+SELECT source_ip, ws AS window_start, count(*) AS event_count, sum(bytes) AS bytes, count(*) FILTER (action = 'block' AND event_id % 4 <> 0) AS blocked_count,
+ count(*) FILTER (action = 'pass' AND event_id % 4 <> 0) AS passed_count FROM e GROUP BY source_ip, ws""",
     "window_flags_free": f"SELECT window_id, tcp_flags_summary FROM ({FREE_SQL})",
     "window_full": f"""SELECT *, round(ln(1 + connections), 9) AS log1p_connections, round(ln(1 + bytes), 9) AS log1p_bytes,
  round(ln(1 + packets), 9) AS log1p_packets, round(ln(1 + packet_size), 9) AS log1p_packet_size, round(ln(1 + ports), 9) AS log1p_ports

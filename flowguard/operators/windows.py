@@ -89,7 +89,13 @@ def _known_flags(flags: Column) -> Column:
 def value_counts(
     events: DataFrame, key: str, start: Column, seconds: int, sequence: Column, addresses: str, free_flags: bool = False
 ) -> DataFrame:
-    """Occurrences and first appearance of every attribute value in every window."""
+    """Occurrences and first appearance of every attribute value in every window.
+
+    A missing action, protocol, interface or destination counts as its default, so every
+    event has an action and none leaves the totals.
+    """
+    missing = [n for n in V.EVENT_DEFAULTS if n in ATTRIBUTES]
+    events = events.withColumns({n: F.coalesce(F.nullif(F.col(n).cast("string"), F.lit("")), F.lit(V.EVENT_DEFAULTS[n])) for n in missing})
     texts = {n: F.col(n).cast("string") for n in ATTRIBUTES}
     if not free_flags:
         texts["tcp_flags"] = _known_flags(texts["tcp_flags"])
