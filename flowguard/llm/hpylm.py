@@ -34,6 +34,7 @@ from flowguard.operators.single import attach_row
 
 BUCKET_BYTES = 24 << 20
 BLOCK_BYTES = 12 << 20
+LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 2.0
@@ -207,8 +208,9 @@ def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
     counts = docs.select(text_bytes().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = attach_row(counts.where("word <> 0"), counts.where("word = 0").agg(F.coalesce(F.max("n"), F.lit(0)).alias("all")))
-    return np.array([r.word for r in rows.where(F.col("n") > 2 * share * F.col("all")).collect()], np.int64).view(np.uint64)
+    rows = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(8 * buckets + 1).collect()}
+    total = rows.pop(0, 0)
+    return np.array([w for w, n in rows.items() if n > 2 * share * total], np.int64).view(np.uint64)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -221,7 +223,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, -(-size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     hot = frequent_words(docs, buckets)
     pairs = word_pairs(docs, buckets, hot)
 
@@ -242,7 +244,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = pairs.groupBy("bucket").applyInArrow(count, COUNTS)
     merged = counts.groupBy("kind", "key").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables"), F.collect_list("bucket").alias("buckets"))
     is_word = (F.col("kind") == WORD) & (F.col("customers") > 0)
+    # the totals read every column of the merge, so that both uses share one exchange
     totals = merged.agg(
+        F.max(F.size("buckets")).alias("most"),
         F.coalesce(F.sum(F.when(is_word, F.col("customers"))), F.lit(0)).alias("n"), F.count_if(is_word).alias("v"), F.coalesce(F.sum(F.when(is_word, F.col("tables"))), F.lit(0.0)).alias("t")
     )
 
