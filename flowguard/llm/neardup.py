@@ -201,7 +201,10 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 
 def forest(near, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of a graph between two lists of positions (equal lists: within one).
+    """Trees of a graph between two lists of positions (equal lists: within one), each as a star.
+
+    The edges tie every position to the first one of its tree, so the groups that share
+    members repeat the same few edges.
 
     ``near(i, others)`` picks the neighbours of a position among others. Each position is
     compared only with those not reached yet, so a dense group costs about one comparison
@@ -222,7 +225,7 @@ def forest(near, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]
             side = 0 if within else 1 - side_of[i]
             waiting[side] = waiting[side][[int(j) in left for j in waiting[side]]] if len(waiting[side]) else waiting[side]
             for j in near(i, waiting[side]) if len(waiting[side]) else ():
-                edges.append((i, int(j)))
+                edges.append((start, int(j)))
                 left.discard(int(j))
                 queue.append(int(j))
     return edges
@@ -238,10 +241,11 @@ def _signature_words(table: pa.Table) -> np.ndarray:
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    block = table.column("block").to_numpy()
+    """Positions of the rows of the two blocks, smaller ids first."""
+    block, order = table.column("block").to_numpy(), np.argsort(table.column("id").to_numpy(), kind="stable")
     first, second = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    one = np.flatnonzero(block == first)
-    return one, one if first == second else np.flatnonzero(block == second)
+    one = order[block[order] == first]
+    return one, one if first == second else order[block[order] == second]
 
 
 def _near_signatures(least: float):
