@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 from flowguard.operators.history import export_rows
 from flowguard.session import cut_lineage
 
+ANALYSIS_BUCKETS = 64
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """Columnar copy of events, features or results."""
@@ -66,9 +68,9 @@ def insert_new_windows(records: DataFrame, path: str, day_col: str = "window_tim
     unique = dated.where(valid).dropDuplicates(["window_uid"])
     counts = dated.agg(
         F.count_if(valid).alias("valid"), F.count_if(~valid).alias("errors"),
-        F.min("window_day").alias("low"), F.max("window_day").alias("high"),
+        F.collect_set("window_day").alias("days"),
     ).first()
-    stored = read_if_present(spark, path, dated.schema).where(F.col("window_day").between(counts.low, counts.high))
+    stored = read_if_present(spark, path, dated.schema).where(F.col("window_day").isin(counts.days))
     fresh = cut_lineage(unique.join(stored.select("window_uid"), "window_uid", "left_anti").select(*dated.columns))
     saved = fresh.count()
     if saved:
@@ -77,14 +79,30 @@ def insert_new_windows(records: DataFrame, path: str, day_col: str = "window_tim
 
 
 def replace_analysis(summary: DataFrame, results: DataFrame, folder: str) -> None:
-    """Header and results of each analysis replace what was stored for it."""
+    """Header and results of each analysis replace what was stored for it.
+
+    Both tables are partitioned by a hash bucket of the id, so the number of files does
+    not follow the number of analyses, and only touched buckets are rewritten. A bucket
+    whose rows all went gets one marker row without an id, which ``read_analyses`` leaves
+    out. Rows without an id are not stored.
+    """
+    spark = summary.sparkSession
+    ids = cut_lineage(summary.select("analysis_id").union(results.select("analysis_id")).where("analysis_id is not null").distinct())
+    bucket = F.pmod(F.xxhash64("analysis_id"), F.lit(ANALYSIS_BUCKETS)).cast("int").alias("bucket")
+    touched = ids.select(bucket).distinct()
+    numbers = [r.bucket for r in touched.collect()]
     for name, df in (("analyses", summary), ("results", results)):
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("analysis_id")
-            .parquet(f"{folder}/{name}")
-        )
+        place = f"{folder}/{name}"
+        placed = df.where("analysis_id is not null").select("*", bucket)
+        kept = read_if_present(spark, place, placed.schema).where(F.col("bucket").isin(numbers)).join(ids, "analysis_id", "left_anti")
+        merged = cut_lineage(placed.unionByName(kept))
+        emptied = touched.join(merged.select("bucket").distinct(), "bucket", "left_anti")
+        merged.unionByName(emptied, allowMissingColumns=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(place)
+
+
+def read_analyses(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The stored ``analyses`` or ``results``."""
+    return spark.read.parquet(f"{folder}/{name}").where("analysis_id is not null").drop("bucket")
 
 
 def save_model(spark: SparkSession, model, path: str, model_id: str) -> None:

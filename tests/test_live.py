@@ -196,3 +196,16 @@ def test_replace_analysis(spark, tmp_path):
     sinks.replace_analysis(head(2), rows(2), folder)
     assert spark.read.parquet(f"{folder}/results").count() == 3
     assert {r.analysis_id: r.total for r in spark.read.parquet(f"{folder}/analyses").collect()} == {"a": 2, "b": 9}
+
+
+def test_replace_analysis_with_no_results(spark, tmp_path):
+    head = spark.createDataFrame([("a", 1)], "analysis_id string, total int")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "analysis_id string, id int")
+    folder = str(tmp_path)
+    sinks.replace_analysis(head, rows, folder)
+    assert sinks.read_analyses(spark, folder, "results").count() == 2
+    sinks.replace_analysis(head, rows.limit(0), folder)
+    assert sinks.read_analyses(spark, folder, "results").count() == 0
+    assert sinks.read_analyses(spark, folder, "analyses").columns == ["analysis_id", "total"]
+    sinks.replace_analysis(head, rows, folder)
+    assert sinks.read_analyses(spark, folder, "results").count() == 2
