@@ -312,9 +312,12 @@ def read_documents(segments: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before it in file order. A block that fails
     its checksum stops the job with an error that names it.
     """
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     totals = segments.select("part", "number", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
-    offsets = totals.select("part", "number", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    earlier = lambda window: F.coalesce(F.sum("total").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row per part, as many as the session has shuffle partitions
+    parts = totals.groupBy("part").agg(F.sum("total").alias("total")).select("part", earlier(Window.orderBy("part")).alias("first"))
+    within = totals.select("part", "number", earlier(Window.partitionBy("part").orderBy("number")).alias("local_first"))
+    offsets = within.join(parts, "part").select("part", "number", (F.col("first") + F.col("local_first")).alias("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
