@@ -20,7 +20,7 @@ run again gives the same result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import WordHashes, bounded_batches, mix, slices, text_bytes, words_of
+from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of
 from flowguard.operators.single import attach_row
 
 BUCKET_BYTES = 24 << 20
@@ -73,23 +73,52 @@ def sweep_seats(customers: np.ndarray, room: np.ndarray, weight: np.ndarray, dis
     for at, sizes in seats:
         count, mass, row = customers[at], weight[at], np.arange(len(at))
         open_tables = (sizes > 0).sum(axis=1)
+        # tables beyond the last one in use, and one free one, hold nobody and are left out
+        last = int(np.flatnonzero(sizes.any(axis=0))[-1])
         for _ in range(min(MOVES, sizes.shape[1])):
-            leaves = (np.cumsum(sizes, axis=1) <= (random.random(len(at)) * count)[:, None]).sum(axis=1)
-            sizes[row, leaves] -= 1
-            open_tables -= sizes[row, leaves] == 0
+            used = sizes[:, : last + 2]
+            leaves = np.minimum((np.cumsum(used, axis=1) <= (random.random(len(at)) * count)[:, None]).sum(axis=1), used.shape[1] - 1)
+            used[row, leaves] -= 1
+            open_tables -= used[row, leaves] == 0
             draw = random.random(len(at)) * (mass + count - 1 - discount * open_tables)
             new = draw < mass
-            upto = np.cumsum(sizes - discount * (sizes > 0), axis=1)
-            joins = np.minimum((upto <= (draw - mass)[:, None]).sum(axis=1), sizes.shape[1] - 1)
-            empty = (sizes == 0).argmax(axis=1)
-            old = sizes[row, joins] > 0
-            joins = np.where(new, empty, np.where(old, joins, sizes.argmax(axis=1)))
-            open_tables += sizes[row, joins] == 0
-            sizes[row, joins] += 1
+            upto = np.cumsum(used - discount * (used > 0), axis=1)
+            joins = np.minimum((upto <= (draw - mass)[:, None]).sum(axis=1), used.shape[1] - 1)
+            empty = (used == 0).argmax(axis=1)
+            old = used[row, joins] > 0
+            joins = np.where(new, empty, np.where(old, joins, used.argmax(axis=1)))
+            open_tables += used[row, joins] == 0
+            used[row, joins] += 1
+            last = max(last, int(joins.max()))
         tables[at] = open_tables
     return tables, seats
 
 
+class WordCodes(dict):
+    """Small numbers of the words met by a task, and their hashes; forgotten between blocks when many."""
+
+    def __init__(self):
+        super().__init__()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.known: list[int] = [START, END]
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self.known)
+        self.known.append(xxhash.xxh64_intdigest(word))
+        return code
+
+    def block(self, texts: Iterable[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Codes of the words of every text, and the hash of every code."""
+        if len(self) > CACHE_WORDS:
+            self.reset()
+        words = [words_of(text) for text in texts]
+        codes = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
+        return codes, np.array(self.known, np.uint64)
+
+
 class Bucket:
     """All word pairs of one bucket, merged over the blocks that sent them."""
 
@@ -135,31 +164,27 @@ class Bucket:
         return mean, np.bincount(self.context, weights=mean, minlength=len(self.contexts)) + away
 
 
-def encode_block(batch: pa.RecordBatch, hashes: WordHashes, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
+def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
     """Per bucket: contexts, pairs of each, words, occurrences of each pair and their rows."""
-    parts, sizes = [], []
-    for text in batch.column(1):
-        own = hashes.of(words_of(text.as_py()))
-        parts += [np.array([START], np.uint64), own]
-        sizes.append(len(own) + 1)
-    stream = np.concatenate([*parts, np.array([START], np.uint64)])
+    texts, hashes = numbers.block(text.as_py() for text in batch.column(1))
+    sizes = np.array([len(own) + 1 for own in texts], np.int64)
+    start = np.zeros(1, np.int64)
+    stream = np.concatenate([part for own in texts for part in (start, own)] + [start])
     row = np.repeat(np.arange(len(sizes)), sizes)
     before, after = stream[:-1], stream[1:].copy()
-    after[np.cumsum(sizes) - 1] = END
-    contexts, c = np.unique(before, return_inverse=True)
-    words, w = np.unique(after, return_inverse=True)
-    spread = np.isin(contexts, hot)[c]
+    after[np.cumsum(sizes) - 1] = 1
+    bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)[before]
+    spread = np.flatnonzero(np.isin(hashes, hot)[before])
     with np.errstate(over="ignore"):
-        place = np.where(spread, mix(before * _PRIME + after), mix(before))
-    bucket = (place % np.uint64(buckets)).astype(np.int64)
-    key = (bucket * len(contexts) + c) * len(words) + w
-    order = np.argsort(key, kind="stable")
+        bucket[spread] = mix(hashes[before[spread]] * _PRIME + hashes[after[spread]]) % np.uint64(buckets)
+    key = (bucket * len(hashes) + before) * len(hashes) + after
+    order = np.argsort(key)
     key, row = key[order], row[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     times = np.diff(np.append(first, len(key)))
-    pair = key[first]
-    pair_word, rest = words[pair % len(words)], pair // len(words)
-    pair_context, pair_bucket = rest % len(contexts), rest // len(contexts)
+    rest, pair_word = np.divmod(key[first], len(hashes))
+    pair_bucket, pair_context = np.divmod(rest, len(hashes))
+    pair_word = hashes[pair_word]
     edges = np.searchsorted(pair_bucket, np.arange(buckets + 1))
     starts = np.append(first, len(key))
     for b in range(buckets):
@@ -168,18 +193,18 @@ def encode_block(batch: pa.RecordBatch, hashes: WordHashes, buckets: int, hot: n
             continue
         own = pair_context[i:j]
         heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        yield b, contexts[own[heads]], np.diff(np.append(heads, j - i)), pair_word[i:j], times[i:j], row[starts[i] : starts[j]]
+        yield b, hashes[own[heads]], np.diff(np.append(heads, j - i)), pair_word[i:j], times[i:j], row[starts[i] : starts[j]]
 
 
 def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), TaskContext.get().partitionId() << 40
+        numbers, block = WordCodes(), TaskContext.get().partitionId() << 40
         kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int16()))
         names = ["bucket", "block", "doc_ids", "contexts", "spans", "words", "times", "rows"]
         for whole in batches:
             for batch in slices(whole, 1, BLOCK_BYTES):
                 ids = batch.column(0).to_pylist()
-                for b, contexts, spans, words, times, rows in encode_block(batch, hashes, buckets, hot):
+                for b, contexts, spans, words, times, rows in encode_block(batch, numbers, buckets, hot):
                     values = [b], [block], [ids], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [times], [rows]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
                 block += len(ids)
@@ -197,13 +222,14 @@ def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
     share = 1 / (8 * buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        numbers = WordCodes()
         for batch in batches:
-            parts = [hashes.of(words_of(text.as_py())) for text in batch.column(0)]
-            seen = np.concatenate([*parts, np.full(len(parts), START, np.uint64)]) if parts else np.zeros(0, np.uint64)
-            words, counts = np.unique(seen, return_counts=True)
-            many = counts > share * len(seen)
-            words, counts = np.append(words[many], np.uint64(0)), np.append(counts[many], len(seen))
+            texts, words = numbers.block(text.as_py() for text in batch.column(0))
+            counts = np.bincount(np.concatenate(texts), minlength=len(words)) if texts else np.zeros(len(words), np.int64)
+            counts[0] = len(texts)
+            total = counts.sum()
+            many = counts > share * total
+            words, counts = np.append(words[many], np.uint64(0)), np.append(counts[many], total)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
