@@ -127,7 +127,7 @@ def score_normalise(spark, folder):
 
 def pct_threshold(spark, folder):
     h = tables.hist(spark, folder)
-    found = exact_percentiles(h, "autoencoder_score", [80, 85, 90, 95], small=1000)
+    found = exact_percentiles(h, "autoencoder_score", [80, 85, 90, 95])
     rows = F.array(*[F.struct(F.lit(p).alias("percentile"), F.lit(v).alias("threshold")) for p, v in zip((80, 85, 90, 95), found)])
     over = F.count_if(F.col("autoencoder_score") > F.col("threshold")).alias("over")
     return h.select("autoencoder_score", F.inline(rows)).groupBy("percentile", F.round("threshold", 9).alias("threshold")).agg(over)

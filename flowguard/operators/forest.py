@@ -7,7 +7,7 @@ changes neither a tree nor a score; the forest works on unscaled features.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from math import ceil, log, log2, sqrt
+from math import ceil, log, log1p, log2, sqrt
 
 import numpy as np
 import pandas as pd
@@ -73,19 +73,17 @@ def tree_samples(
 ) -> DataFrame:
     """Rows of each tree, drawn without replacement by seeded hashes.
 
-    With many rows each row serves one tree at most and one hash decides; with few
-    rows every tree tests every row. Either way about ``trees * rows`` rows move.
+    Every tree draws every row at the same rate on its own. One hash names the first tree
+    that draws a row (a geometric step); only rows with such a tree test the later ones, so
+    most rows of a large table cost one hash. About ``trees * rows`` rows move.
     """
     rate = min(1.0, rows * (1.0 + 6.0 / sqrt(rows)) / total)
-    if rate * trees < 1.0:
-        chosen = F.when(
-            _uniform(key, F.lit(seed)) < rate * trees,
-            F.array(F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(trees)).cast("int")),
-        )
-    else:
-        chosen = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(key, F.lit(seed), t) < rate
-        )
+    step = F.floor(F.log(_uniform(key, F.lit(seed), F.lit(-1))) / log1p(-rate)) if rate < 1.0 else F.lit(0)
+    first = F.when(step < trees, step.cast("int"))
+    later = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (t > first) & (_uniform(key, F.lit(seed), t) < rate)
+    )
+    chosen = F.when(first.isNotNull(), F.concat(F.array(first), later))
     return df.select(
         F.lit(forest_id).alias("forest_id"),
         F.explode(chosen).alias("tree_id"),

@@ -22,10 +22,15 @@ def class_counts(df: DataFrame, target: str) -> dict[int, int]:
 def spread_rank(
     df: DataFrame, group: str, key_cols: list[str], seed: int, total: int, output: str = "_rank", per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Rank from one within ``group`` in a seeded random order."""
-    buckets = max(1, ceil(total / per_bucket))
+    """Rank from one within ``group`` in a seeded random order.
+
+    The order is that of the hash alone; buckets are ranges of it, so their number spreads
+    the work and changes no rank.
+    """
+    bits = max(0, ceil(total / per_bucket) - 1).bit_length()
+    buckets = 1 << bits
     df = df.withColumn("_hash", F.xxhash64(*key_cols, F.lit(seed))).withColumn(
-        "_bucket", F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(buckets)).cast("long")
+        "_bucket", F.shiftright("_hash", 64 - bits) if bits else F.lit(0).cast("long")
     )
     inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_hash", *key_cols)).cast("long")
     ranked = df.withColumn(output, inside)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.operators.quantiles import SMALL, exact_percentiles
+from flowguard.operators.quantiles import column_percentiles
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,9 @@ def scaling_statistics(df: DataFrame, columns: list[str], kind: str) -> DataFram
 def fit_scaler(df: DataFrame, columns: list[str], kind: str = "standard") -> Scaler:
     """Fit on every row; constant columns keep scale one."""
     kind = kind.strip().lower()
-    if kind == "robust" and df.count() > SMALL:
-        pairs = []
-        for name in columns:
-            low, middle, high = exact_percentiles(df, name, [25, 50, 75])
-            pairs.append((middle, high - low))
+    if kind == "robust":
+        quarters = column_percentiles(df, {n: [25, 50, 75] for n in columns})
+        pairs = [(q[1], None if None in q else q[2] - q[0]) for q in map(quarters.get, columns)]
     else:
         row = scaling_statistics(df, columns, kind).first()
         pairs = [tuple(row[n]) for n in columns]

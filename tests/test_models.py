@@ -6,8 +6,8 @@ from flowguard.config import DecisionConfig, EnsembleConfig, decision_profile, e
 from flowguard.operators import sampling as S
 from flowguard.operators.decision import decide
 from flowguard.operators.ensemble import sweep_candidates
-from flowguard.operators.forest import ForestConfig, average_path, fit_forest, forest_grid, grow_forests, score_forest
-from flowguard.operators.quantiles import exact_percentiles
+from flowguard.operators.forest import ForestConfig, average_path, fit_forest, forest_grid, grow_forests, score_forest, tree_samples
+from flowguard.operators.quantiles import column_percentiles, exact_percentiles
 from flowguard.operators.reconstruction import fit_reconstruction, reconstruction_error, score_reconstruction
 from flowguard.operators.scaling import fit_scaler
 from flowguard.operators.scores import ScoreStats, normalise_score
@@ -70,7 +70,7 @@ def test_exact_percentiles_narrow_to_the_same_value(spark):
     x = np.concatenate([rng.lognormal(size=30_000), np.full(20_000, 2.5), [1e9, -1e9]])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     wanted = [0, 5, 37.5, 50, 60, 90, 99.9, 100]
-    assert np.allclose(exact_percentiles(df, "x", wanted, small=10), np.percentile(x, wanted), rtol=1e-12)
+    assert np.allclose(exact_percentiles(df, "x", wanted, gather=10), np.percentile(x, wanted), rtol=1e-12)
     assert np.allclose(exact_percentiles(df, "x", wanted), np.percentile(x, wanted), rtol=1e-12)
 
 
@@ -146,3 +146,35 @@ def test_balance(labelled, spark):
     assert S.cap_rows(labelled, "y", ["id"], None).count() == 1000
     with pytest.raises(ValueError):
         S.balance(labelled, "y", ["id"], "other")
+
+
+def test_percentiles_of_many_columns_and_odd_values(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.lognormal(0, 8, 900), np.zeros(100)])
+    rows = [(float(v), float(-v), 3.0, None, float("inf") if i % 2 else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    wanted = [0, 5, 33.3, 50, 100]
+    for gather in (0, 7, 10_000):
+        got = column_percentiles(df, {n: wanted for n in "abcd"} | {"e": [10, 90]}, gather)
+        assert np.allclose(got["a"], np.percentile(x, wanted), rtol=1e-12)
+        assert np.allclose(got["b"], np.percentile(-x, wanted), rtol=1e-12)
+        assert got["c"] == [3.0] * 5 and got["d"] == [None] * 5
+        assert np.isfinite(got["e"][0]) and got["e"][1] == float("inf")
+    with pytest.raises(ValueError):
+        exact_percentiles(df, "d", [50])
+
+
+def test_ranks_do_not_depend_on_the_number_of_buckets(spark):
+    df = spark.range(2000).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    ranks = [{r.id: r._rank for r in S.spread_rank(df, "y", ["id"], 3, 2000, per_bucket=n).collect()} for n in (2000, 300, 11)]
+    assert ranks[0] == ranks[1] == ranks[2]
+
+
+def test_one_rule_draws_the_rows_of_trees_at_every_size(spark):
+    for total, trees, rows in ((40, 10, 64), (3000, 20, 64), (20_000, 5, 32)):
+        df = spark.range(total).select("id", F.col("id").cast("double").alias("x"))
+        drawn = tree_samples(df, ["x"], 0, trees, rows, total, 42, F.xxhash64("id"))
+        sizes = {r.tree_id: r["count"] for r in drawn.groupBy("tree_id").count().collect()}
+        assert drawn.count() == drawn.distinct().count() and set(sizes) == set(range(trees))
+        rate = min(1.0, rows * (1 + 6 / rows**0.5) / total)
+        assert all(abs(n - rate * total) <= 6 * (rate * total * (1 - rate)) ** 0.5 + 1e-9 for n in sizes.values())
