@@ -176,8 +176,10 @@ def split_comparison(spark, folder):
 
 def threshold_sweep(spark, folder):
     h = tables.hist(spark, folder).withColumn("target", (F.col("if_norm") > 0.6).cast("int"))
-    swept = E.threshold_sweep(h, "autoencoder_score", "target", {80: 0.25, 85: 0.5, 90: 1.0, 95: 1.5})
-    return _round_metrics(swept, ["percentile", "threshold"])
+    percentiles = [80, 85, 90, 95]
+    cuts = dict(zip(percentiles, exact_percentiles(h, "autoencoder_score", percentiles)))
+    swept = _round_metrics(E.threshold_sweep(h, "autoencoder_score", "target", cuts), ["percentile", "threshold"])
+    return swept.withColumn("threshold", F.round("threshold", 9))
 
 
 def sweep_best(spark, folder):
@@ -308,9 +310,9 @@ _DELTA = ", ".join(
     f"round(coalesce(max({n}) FILTER (profile = 'balanced'), 0) - coalesce(max({n}) FILTER (profile = 'conservative'), 0), 9) AS delta_{n}"
     for n in E.COMPARED
 )
-_SWEEP = f"""h AS ({HIST}), o AS (SELECT * FROM (VALUES (CAST(80 AS DOUBLE), CAST(0.25 AS DOUBLE)), (85, 0.5), (90, 1.0), (95, 1.5)) v(percentile, threshold)),
+_SWEEP = f"""h AS ({HIST}), o AS (SELECT CAST(unnest([80, 85, 90, 95]) AS DOUBLE) AS percentile, unnest(quantile_cont(autoencoder_score, [0.80, 0.85, 0.90, 0.95])) AS threshold FROM h),
 x AS (SELECT percentile, threshold, CASE WHEN if_norm > 0.6 THEN 1 ELSE 0 END AS t, CASE WHEN autoencoder_score > threshold THEN 1 ELSE 0 END AS p FROM h, o),
-c AS (SELECT percentile, threshold, {_CM} FROM x GROUP BY ALL), m AS (SELECT percentile, threshold, {_M} FROM c)"""
+c AS (SELECT percentile, threshold, {_CM} FROM x GROUP BY ALL), m AS (SELECT percentile, round(threshold, 9) AS threshold, {_M} FROM c)"""
 _CANDIDATES = sweep_candidates(clipped=False)
 
 
