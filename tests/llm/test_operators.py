@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -292,3 +294,23 @@ def test_cut_is_minimal_and_pages_are_cleaned(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got if r.page_id in (2, 3, None)} == {2: "", 3: "", None: ""}
     assert [r.text.count("word word.") for r in got if r.page_id == 5] == [3000]
+
+
+def test_encoded_blocks_hold_every_word_pair(monkeypatch):
+    monkeypatch.setattr(hpylm, "CACHE_WORDS", 5)
+    numbers, texts = hpylm.WordCodes(), [t.encode() for _, t in sample_texts()[:20]] + [b"", b"A a\tB"]
+    hot = np.array([hpylm.START, xxhash.xxh64_intdigest(b"w1")], np.uint64)
+    for part in (texts[:9], texts[9:], [b""]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int64()), pa.array(part, pa.binary())], ["doc_id", "text"])
+        got, homes = Counter(), {}
+        for b, contexts, spans, words, times, rows in hpylm.encode_block(batch, numbers, 4, hot):
+            pairs = zip(np.repeat(np.repeat(contexts, spans), times).tolist(), np.repeat(words, times).tolist(), rows.tolist())
+            for c, w, r in pairs:
+                got[c, w, r] += 1
+                if c not in hot.tolist():
+                    assert homes.setdefault(c, b) == b
+        want = Counter()
+        for r, text in enumerate(part):
+            words = [xxhash.xxh64_intdigest(w) for w in text.lower().split()]
+            want.update(zip([hpylm.START, *words], [*words, hpylm.END], [r] * (len(words) + 1)))
+        assert got == want
