@@ -2,10 +2,11 @@
 
 Every context word has a restaurant whose customers are the words that follow it; the
 tables of all context restaurants are the customers of one shared parent restaurant, whose
-base measure is uniform over the vocabulary. Seating is sampled by Gibbs: a customer leaves
-its table and is seated again at a table in proportion to its size less the discount, or at
-a new one in proportion to the parent's probability. Restaurants are swept side by side
-with the totals of the last sweep. Predictive probabilities are averaged over the samples;
+base measure is uniform over the vocabulary. Seating is sampled by Gibbs: in a sweep all
+customers of a word leave and are seated again, at a table in proportion to its size less
+the discount or at a new one in proportion to the parent's probability; only the count of
+tables matters, and it is drawn as a whole. Restaurants are swept side by side with the
+totals of the last sweep. Predictive probabilities are averaged over the samples;
 they are linear in the table counts, so the counts are averaged.
 
 Documents are cut into blocks. A block sends each bucket of contexts its distinct word
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,10 @@ LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 2.0
-BURN_IN, SAMPLES, MOVES = 2, 3, 12
+BURN_IN, SAMPLES = 2, 3
+#: Rows of more customers draw their tables by rejection instead of from a table of all chances.
+SMALL_ROW = 128
+ROWS_AT_ONCE, NODES = 512, 65
 
 _PRIME = np.uint64(0x100000001B3)
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
@@ -54,19 +59,151 @@ def in_training(doc_ids: list[int | None]) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i in doc_ids], dtype=bool)
 
 
+@lru_cache
+def stirling_logs(most: int, discount: float) -> np.ndarray:
+    """Logs of the generalised Stirling numbers of up to ``most`` customers (rows) and tables (columns)."""
+    logs = np.full((most + 1, most + 1), -np.inf)
+    logs[1, 1] = 0.0
+    tables = np.arange(1, most + 1)
+    for c in range(1, most):
+        t = tables[:c]
+        logs[c + 1, 1 : c + 1] = np.logaddexp(logs[c, :c], np.log(c - discount * t) + logs[c, 1 : c + 1])
+        logs[c + 1, c + 1] = 0.0
+    return logs
+
+
+class StirlingPath:
+    """Logs of ``S(c, t) * weight**t`` of rows of many customers, up to a constant of the row.
+
+    ``S(c, t)`` is a multiple of ``[x**c] (1 - (1 - x)**discount)**t / (t! discount**t)``, here
+    Cauchy's integral by the trapezoidal rule along a path near the saddle point of the row: a
+    parabola around the cut from 1 on, or an arc if the saddle point is far from 1.
+    """
+
+    def __init__(self, customers: np.ndarray, weight: np.ndarray, discount: float):
+        c, self.customers, self.log_weight = customers.astype(float), customers, np.log(weight / discount)
+        # weight * x * (1 - x) ** (discount - 1) = c, in the logit of 1 - x
+        low, high = -np.log(4 * c), np.maximum(np.log(weight / c), 0) + 3
+        for _ in range(40):
+            middle = (low + high) / 2
+            x, s = 1 / (1 + np.exp(middle)), 1 / (1 + np.exp(-middle))
+            above = np.log(weight / c) + np.log(x) + (discount - 1) * np.log(s) > 0
+            low, high = np.where(above, middle, low), np.where(above, high, middle)
+        f, rate = 1 - s**discount, weight / discount
+        slope, bend = x * discount * s ** (discount - 1), x * x * discount * (1 - discount) * s ** (discount - 2)
+        self.mean = np.clip(rate * f, 1, c)
+        self.deviation = np.sqrt(np.maximum(rate * (f - slope**2 / (slope + bend)), 0.1))
+        spread = np.sqrt(np.maximum(self.mean * ((slope + bend) / f - (slope / f) ** 2), 1e-300))
+        arc = s > 0.3
+        near = np.maximum(s, 1 / c)
+        reach = np.where(arc, np.minimum(np.pi, 10 / spread), 10 / np.sqrt(c * near))
+        at = reach[:, None] * np.linspace(0, 1, NODES)
+        z = 1 + 1j * at
+        path = np.where(arc[:, None], x[:, None] * np.exp(1j * at), 1 - near[:, None] * z**2)
+        self.log_x = np.where(arc[:, None], np.log(x)[:, None] + 1j * at, np.log1p(-near[:, None] * z**2))
+        cut = np.where(arc[:, None], np.exp(discount * np.log1p(-np.where(arc[:, None], path, 0))), near[:, None] ** discount * np.exp(2 * discount * np.log(z)))
+        self.log_f = np.log1p(-cut)
+        self.step = np.where(arc[:, None], path, near[:, None] * z)
+        self.step[:, [0, -1]] /= 2
+        self.top_x, self.top_f = self.log_x[:, 0].real.copy(), self.log_f[:, 0].real.copy()
+        self.log_x -= self.top_x[:, None]
+        self.log_f -= self.top_f[:, None]
+
+    def log_mass(self, rows: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        c = self.customers[rows] + 1.0
+        area = (np.exp(tables[:, None] * self.log_f[rows] - c[:, None] * self.log_x[rows]) * self.step[rows]).real.sum(axis=1)
+        logs = np.log(np.maximum(area, 1e-300)) + tables * self.top_f[rows] - c * self.top_x[rows]
+        return logs + tables * self.log_weight[rows] - log_factorial(tables)
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """Stirling's series, shifted by ten."""
+    x = n + 11.0
+    logs = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return logs - np.log(np.prod(n[..., None] + np.arange(1.0, 11.0), axis=-1))
+
+
+def draw_large(customers: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Table counts of rows of many customers by rejection under two exponentials.
+
+    ``S(c, t) * weight**t`` is log-concave in ``t`` (Kurtz), so a line through neighbouring
+    logs is nowhere below the others.
+    """
+    path = StirlingPath(customers, weight, discount)
+    rows, c = np.arange(len(customers)), customers
+    middle, width = np.rint(path.mean).astype(np.int64), np.maximum(np.rint(path.deviation), 1).astype(np.int64)
+    left, right = np.clip(middle - width, 1, c - 1), np.clip(middle + width, 2, c)
+    ends = np.zeros((4, len(c)))
+    todo = rows
+    while len(todo):
+        for k, t in enumerate((left, left + 1, right - 1, right)):
+            ends[k, todo] = path.log_mass(todo, t[todo])
+        falls = (ends[1] <= ends[0]) & (left > 1)
+        rises = (ends[3] >= ends[2]) & (right < c)
+        width *= 2
+        left, right = np.where(falls, np.maximum(left - width, 1), left), np.where(rises, np.minimum(right + width, c), right)
+        todo = np.flatnonzero(falls | rises)
+    up, down = ends[1] - ends[0], ends[3] - ends[2]
+    gap = up - down
+    meet = np.where(gap > 1e-9, (ends[3] - down * right - ends[0] + up * left) / np.maximum(gap, 1e-9), middle)
+    cut = np.clip(np.floor(meet), 0, c).astype(np.int64)
+    sides = []
+    for first, last, slope, value, at in ((1, cut, up, ends[0], left), (cut + 1, c, down, ends[3], right)):
+        n, steep = last - first + 1, np.maximum(np.abs(slope), 1e-12)
+        heavy = np.where(slope > 0, last, first)
+        total = value + slope * (heavy - at) + np.log(np.maximum(-np.expm1(-steep * n), 1e-300)) - np.log(-np.expm1(-steep))
+        sides.append((n, steep, slope, heavy, value, at, np.where(n > 0, total, -np.inf)))
+    share = 1 / (1 + np.exp(np.clip(sides[1][-1] - sides[0][-1], -700, 700)))
+    share = np.where(cut < 1, 0.0, np.where(cut >= c, 1.0, share))
+    tables, todo = np.ones(len(c), np.int64), rows
+    while len(todo):
+        on_right = random.random(len(todo)) >= share[todo]
+        n, steep, slope, heavy, value, at, _ = (np.where(on_right, two[todo], one[todo]) for one, two in zip(*sides))
+        back = np.floor(np.log1p(random.random(len(todo)) * np.expm1(-steep * n)) / -steep).astype(np.int64)
+        t = (heavy - np.where(slope > 0, 1, -1) * np.minimum(back, n - 1)).astype(np.int64)
+        taken = np.log(1 - random.random(len(todo))) <= path.log_mass(todo, t) - (value + slope * (t - at))
+        tables[todo[taken]] = t[taken]
+        todo = todo[~taken]
+    return tables
+
+
+def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of every row after all its customers are seated anew; ``weight`` is the mass of a new table.
+
+    Drawn from the law in which a long run of single moves ends, ``S(c, t) * weight**t`` with
+    generalised Stirling numbers, whatever the count.
+    """
+    tables = np.minimum(customers, 1)
+    logs = stirling_logs(SMALL_ROW, discount)
+    several = np.flatnonzero((customers > 1) & (customers <= SMALL_ROW))
+    several = several[np.argsort(customers[several], kind="stable")]
+    edges = np.searchsorted(customers[several], np.arange(2, SMALL_ROW + 2))
+    for c, i, j in zip(range(2, SMALL_ROW + 1), edges[:-1], edges[1:]):
+        for k in range(i, j, ROWS_AT_ONCE):
+            at = several[k : min(j, k + ROWS_AT_ONCE)]
+            mass = logs[c, 1 : c + 1] + np.log(weight[at])[:, None] * np.arange(1, c + 1)
+            upto = np.cumsum(np.exp(mass - mass.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + np.minimum((upto <= (random.random(len(at)) * upto[:, -1])[:, None]).sum(axis=1), c - 1)
+    large = np.flatnonzero(customers > SMALL_ROW)
+    for k in range(0, len(large), ROWS_AT_ONCE):
+        at = large[k : k + ROWS_AT_ONCE]
+        tables[at] = draw_large(customers[at], weight[at], discount, random)
+    return tables
+
+
 def sweep_seats(customers: np.ndarray, room: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator, seats: list | None) -> tuple[np.ndarray, list]:
-    """One Gibbs sweep; ``weight`` is the mass of a new table of every row.
+    """One plain Gibbs sweep, customer by customer, which ``draw_tables`` is held against.
 
     Rows are grouped by the power of two that holds their customers (``room``), each group
-    with a matrix of table sizes. A sweep moves ``MOVES`` random customers of a row, or as
-    many as it has. Returns the tables of every row and the state.
+    with a matrix of table sizes. A sweep moves as many random customers as the largest row
+    of a group has. Returns the tables of every row and the state.
     """
     tables = np.minimum(customers, 1)
     if seats is None:
         seats = []
         for power in np.unique(room[customers > 1]):
             at = np.flatnonzero((room == power) & (customers > 1))
-            extra = np.minimum(random.poisson(weight[at] * np.log1p(customers[at] / (1 + weight[at]))), customers[at] - 1)
+            extra = np.minimum(random.poisson(weight[at] / discount), customers[at] - 1)
             sizes = (np.arange(1 << int(power))[None, :] <= extra[:, None]).astype(np.int32)
             sizes[:, 0] = customers[at] - extra
             seats.append((at, sizes))
@@ -75,7 +212,7 @@ def sweep_seats(customers: np.ndarray, room: np.ndarray, weight: np.ndarray, dis
         open_tables = (sizes > 0).sum(axis=1)
         # tables beyond the last one in use, and one free one, hold nobody and are left out
         last = int(np.flatnonzero(sizes.any(axis=0))[-1])
-        for _ in range(min(MOVES, sizes.shape[1])):
+        for _ in range(int(count.max())):
             used = sizes[:, : last + 2]
             leaves = np.minimum((np.cumsum(used, axis=1) <= (random.random(len(at)) * count)[:, None]).sum(axis=1), used.shape[1] - 1)
             used[row, leaves] -= 1
@@ -143,7 +280,6 @@ class Bucket:
         self.customers = np.bincount(self.token, weights=training[self.doc], minlength=len(example)).astype(np.int64)
         self.words, self.word = np.unique(word[example], return_inverse=True)
         self.contexts, self.context = np.unique(context[example], return_inverse=True)
-        self.room = np.ceil(np.log2(np.maximum(self.customers, 2))).astype(np.int64)
 
     def seat(self, parent: np.ndarray, sweeps: int, kept: int, others: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Mean tables of every pair and of every context over the last ``kept`` sweeps.
@@ -154,11 +290,11 @@ class Bucket:
         random = np.random.default_rng(seed)
         away = np.zeros(len(self.contexts)) if others is None else others
         tables = np.minimum(self.customers, 1)
-        mean, seats = np.zeros(len(tables)), None
+        mean = np.zeros(len(tables))
         for turn in range(sweeps):
             total = np.bincount(self.context, weights=tables, minlength=len(self.contexts)) + away
             weight = (STRENGTH + DISCOUNT * total[self.context]) * parent[self.word]
-            tables, seats = sweep_seats(self.customers, self.room, weight, DISCOUNT, random, seats)
+            tables = draw_tables(self.customers, weight, DISCOUNT, random)
             if turn >= sweeps - kept:
                 mean += tables / kept
         return mean, np.bincount(self.context, weights=mean, minlength=len(self.contexts)) + away
@@ -281,15 +417,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             kind, customers = batch.column(0).to_numpy(), np.rint(batch.column(3).to_numpy()).astype(np.int64) * (batch.column(0).to_numpy() == WORD)
             v = batch.column(6).to_numpy()
-            # beyond 1024 customers the count of tables is drawn from its Poisson limit instead of seat by seat
-            room = np.ceil(np.log2(np.maximum(customers, 2))).astype(np.int64)
             weight = (PARENT_STRENGTH + PARENT_DISCOUNT * v) / (v + 1)
-            small = customers * (customers <= 1024)
-            tables, seats = sweep_seats(small, room, weight, PARENT_DISCOUNT, random, None)
-            for _ in range(BURN_IN):
-                tables, seats = sweep_seats(small, room, weight, PARENT_DISCOUNT, random, seats)
-            large = customers > 1024
-            tables[large] = 1 + random.poisson(weight[large] * np.log1p(customers[large] / (1 + weight[large])))
+            tables = draw_tables(customers, weight, PARENT_DISCOUNT, random)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(kind == WORD, tables, 0).astype(np.float64))], [*batch.schema.names, "parents"])
 
     known = attach_row(merged, totals).select("kind", "key", "customers", "tables", "buckets", "n", "v", "t")

@@ -314,3 +314,29 @@ def test_encoded_blocks_hold_every_word_pair(monkeypatch):
             words = [xxhash.xxh64_intdigest(w) for w in text.lower().split()]
             want.update(zip([hpylm.START, *words], [*words, hpylm.END], [r] * (len(words) + 1)))
         assert got == want
+
+
+def test_table_draws_follow_a_long_gibbs_run():
+    draw = np.random.default_rng(3)
+    for discount in (hpylm.DISCOUNT, hpylm.PARENT_DISCOUNT):
+        customers, weight = np.repeat([5, 60, 60, 140], 60), np.repeat([1.5, 10.0, 0.2, 30.0], 60)
+        room, seats, runs = np.ceil(np.log2(customers)).astype(int), None, []
+        for turn in range(160):
+            tables, seats = hpylm.sweep_seats(customers, room, weight, discount, draw, seats)
+            runs += [tables] * (turn >= 60)
+        long = np.mean(runs, axis=0).reshape(4, 60).mean(axis=1)
+        draws = np.mean([hpylm.draw_tables(customers, weight, discount, draw) for _ in range(20)], axis=0).reshape(4, 60).mean(axis=1)
+        assert (abs(draws - long) < 0.03 * long + 0.02).all(), (draws, long)
+        # many customers of little mass: one table and a Poisson count, at every size
+        many = hpylm.draw_tables(np.full(4000, 10**7), np.full(4000, 3.0), discount, draw)
+        assert abs(many.mean() - 1 - 3 / discount) < 0.15 and abs(many.var() - 3 / discount) < 0.5
+
+
+def test_table_draws_follow_the_stirling_numbers():
+    for discount in (hpylm.DISCOUNT, hpylm.PARENT_DISCOUNT):
+        logs = hpylm.stirling_logs(300, discount)[300, 1:]
+        for weight in (0.01, 2.0, 60.0, 500.0):
+            want = np.exp(logs + np.log(weight) * np.arange(1, 301) - (logs + np.log(weight) * np.arange(1, 301)).max())
+            want /= want.sum()
+            got = np.bincount(hpylm.draw_tables(np.full(6000, 300), np.full(6000, weight), discount, np.random.default_rng(4)), minlength=301)[1:] / 6000
+            assert abs(np.cumsum(got) - np.cumsum(want)).max() < 0.03
