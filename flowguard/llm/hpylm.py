@@ -11,7 +11,8 @@ they are linear in the table counts, so the counts are averaged.
 
 Documents are cut into blocks. A block sends each bucket of contexts its distinct word
 pairs with the rows they occur in, so that a pair travels once per block however often
-it occurs. Contexts that hold a large share of all words are dealt to all buckets by the
+it occurs. Buckets hold pair counts, answer block by block, and a block adds up the answers
+of all buckets; its ids travel in one cell, so no task holds the ids of more than its share. Contexts that hold a large share of all words are dealt to all buckets by the
 pair, and their totals are exchanged with those of the words.
 
 The sampled state of a bucket depends on its data and fixed seeds alone, so a task that is
@@ -49,9 +50,10 @@ _PRIME = np.uint64(0x100000001B3)
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 WORD, CONTEXT, TOTALS = 0, 1, 2
 
-PAIRS = "bucket int, block long, doc_ids array<long>, contexts array<long>, spans array<int>, words array<long>, times array<int>, rows array<short>"
+PAIRS = "bucket int, block long, doc_ids array<long>, contexts array<long>, spans array<int>, words array<long>, times array<int>, trained array<int>, rows array<short>"
 COUNTS = "bucket int, kind int, key long, customers long, tables double"
-SCORES = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
+PARTS = "bucket int, block long, doc_ids array<long>, rows array<short>, n_tokens array<int>, n_known array<int>, base_score array<double>, score array<double>, train_tokens long"
+SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def in_training(doc_ids: list[int | None]) -> np.ndarray:
@@ -257,30 +259,32 @@ class WordCodes(dict):
 
 
 class Bucket:
-    """All word pairs of one bucket, merged over the blocks that sent them."""
+    """All word pairs of one bucket with their training counts, merged over the blocks that sent them."""
 
     def __init__(self, rows: pa.Table):
-        get = lambda name: rows.column(name).combine_chunks()
-        flat = lambda name: get(name).flatten().to_numpy(zero_copy_only=False)
-        length = lambda name: np.diff(get(name).offsets.to_numpy())
-        doc_ids = get("doc_ids").flatten()
-        self.doc_ids = doc_ids
-        held_docs = length("doc_ids")
-        first = np.concatenate([[0], np.cumsum(held_docs)])[:-1]
-        self.row_keys = np.repeat(np.asarray(rows.column("block").to_numpy()), held_docs) + (np.arange(len(doc_ids)) - np.repeat(first, held_docs))
-        training = in_training(doc_ids.to_pylist())
-        times = flat("times").astype(np.int64)
-        self.doc = flat("rows").astype(np.int64) + np.repeat(first, length("rows"))
+        flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         context = np.repeat(flat("contexts"), flat("spans")).view(np.uint64)
         word = flat("words").view(np.uint64)
         with np.errstate(over="ignore"):
             pair = mix(context * _PRIME + word)
         _, example, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        self.token = np.repeat(self.pair, times)
-        self.customers = np.bincount(self.token, weights=training[self.doc], minlength=len(example)).astype(np.int64)
+        self.customers = np.bincount(self.pair, weights=flat("trained"), minlength=len(example)).astype(np.int64)
         self.words, self.word = np.unique(word[example], return_inverse=True)
         self.contexts, self.context = np.unique(context[example], return_inverse=True)
 
+    def parts(self, rows: pa.Table, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> Iterator[tuple]:
+        """Per block: its rows and their sums of 1 and of the three values of every pair."""
+        get = lambda name: rows.column(name).combine_chunks()
+        times, at = get("times"), get("rows")
+        pair_edges, row_edges = times.offsets.to_numpy(), at.offsets.to_numpy()
+        times, at = times.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False)
+        first = pair_edges[0]
+        for k in range(rows.num_rows):
+            i, j = pair_edges[k : k + 2]
+            token = np.repeat(self.pair[i - first : j - first], times[i:j])
+            held, row = np.unique(at[row_edges[k] : row_edges[k + 1]], return_inverse=True)
+            yield held, np.bincount(row), *[np.bincount(row, weights=x[token]) for x in (known, base, score)]
+
     def seat(self, parent: np.ndarray, sweeps: int, kept: int, others: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Mean tables of every pair and of every context over the last ``kept`` sweeps.
 
@@ -335,14 +339,19 @@ def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: n
 def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, block = WordCodes(), TaskContext.get().partitionId() << 40
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int16()))
-        names = ["bucket", "block", "doc_ids", "contexts", "spans", "words", "times", "rows"]
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int16()))
+        names = ["bucket", "block", "doc_ids", "contexts", "spans", "words", "times", "trained", "rows"]
         for whole in batches:
             for batch in slices(whole, 1, BLOCK_BYTES):
                 ids = batch.column(0).to_pylist()
-                for b, contexts, spans, words, times, rows in encode_block(batch, numbers, buckets, hot):
-                    values = [b], [block], [ids], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [times], [rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
+                training = in_training(ids).astype(np.int32)
+                cells = list(encode_block(batch, numbers, buckets, hot))
+                # one cell of a block, another one from block to block, carries the ids
+                carrier = int(mix(np.array([block], np.uint64))[0]) % max(len(cells), 1)
+                for k, (b, contexts, spans, words, times, rows) in enumerate(cells):
+                    trained = np.add.reduceat(training[rows], np.cumsum(times) - times)
+                    values = [b], [block], [ids if k == carrier else None], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [times], [trained], [rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
                 block += len(ids)
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
@@ -450,14 +459,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
         seen = np.maximum(bucket.customers - DISCOUNT * tables, 0)
         probability = (seen + (STRENGTH + DISCOUNT * per_context[context]) * chance[bucket.word]) / (STRENGTH + total[context])
         base = np.log10((word_count + 1) / (n + v + 1))[bucket.word]
-        sums = [np.bincount(bucket.doc, weights=x, minlength=len(bucket.row_keys)) for x in (np.ones(len(bucket.doc)), (word_count > 0)[bucket.word][bucket.token].astype(float), base[bucket.token], np.log10(probability)[bucket.token])]
-        held = np.flatnonzero(sums[0])
+        held, *sums = zip(*bucket.parts(rows, (word_count > 0)[bucket.word].astype(float), base, np.log10(probability)))
+        n_tokens, n_known, base_score, scores = sums
+        whole = lambda parts: pa.array([np.rint(x).astype(np.int32) for x in parts], pa.list_(pa.int32()))
+        return pa.table({
+            "bucket": rows.column("bucket"), "block": rows.column("block"), "doc_ids": rows.column("doc_ids"), "rows": pa.array(held, pa.list_(pa.int16())), "n_tokens": whole(n_tokens), "n_known": whole(n_known),
+            "base_score": pa.array(base_score, pa.list_(pa.float64())), "score": pa.array(scores, pa.list_(pa.float64())), "train_tokens": np.full(rows.num_rows, n),
+        })
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        ids = rows.column("doc_ids").drop_null().combine_chunks().flatten()
+        at = rows.column("rows").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        total = lambda name: np.bincount(at, weights=rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False), minlength=len(ids))
         return pa.table({
-            "row": bucket.row_keys[held], "doc_id": bucket.doc_ids.take(pa.array(held)), "n_tokens": sums[0][held].astype(np.int64), "n_known": sums[1][held].astype(np.int64),
-            "base_score": sums[2][held], "score": sums[3][held], "train_tokens": np.full(len(held), n),
+            "doc_id": ids, "n_tokens": total("n_tokens").astype(np.int64), "n_known": total("n_known").astype(np.int64),
+            "train_tokens": pa.array(np.full(len(ids), rows.column("train_tokens")[0].as_py())), "base_score": total("base_score"), "score": total("score"),
         })
 
-    scored = pairs.groupBy("bucket").cogroup(reply.groupBy("bucket")).applyInArrow(score, SCORES + ", train_tokens long")
-    summed = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")], F.max("train_tokens").alias("train_tokens"))
+    scored = pairs.groupBy("bucket").cogroup(reply.groupBy("bucket")).applyInArrow(score, PARTS)
+    summed = scored.groupBy("block").applyInArrow(merge, SCORES)
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out")
     return summed.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -340,3 +340,14 @@ def test_table_draws_follow_the_stirling_numbers():
             want /= want.sum()
             got = np.bincount(hpylm.draw_tables(np.full(6000, 300), np.full(6000, weight), discount, np.random.default_rng(4)), minlength=301)[1:] / 6000
             assert abs(np.cumsum(got) - np.cumsum(want)).max() < 0.03
+
+
+def test_ids_of_a_block_travel_once(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "BLOCK_BYTES", 2000)
+    rows = [(i, f"w{i % 7} w{i % 11} " + " ".join(WORDS[:40])) for i in range(300)]
+    cells = hpylm.word_pairs(docs_of(spark, rows).coalesce(1), 16, np.zeros(0, np.uint64)).collect()
+    blocks, carried = {c.block for c in cells}, [c for c in cells if c.doc_ids is not None]
+    assert len(blocks) > 10 and len(cells) > 5 * len(blocks)
+    assert sorted(c.block for c in carried) == sorted(blocks) and len({c.bucket for c in carried}) > 3
+    assert sorted(i for c in carried for i in c.doc_ids) == [i for i, _ in rows]
+    assert sum(map(sum, (c.trained for c in cells))) == sum(len(t.split()) + 1 for i, t in rows if hpylm.in_training([i])[0])
