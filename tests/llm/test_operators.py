@@ -351,3 +351,16 @@ def test_ids_of_a_block_travel_once(spark, monkeypatch):
     assert sorted(c.block for c in carried) == sorted(blocks) and len({c.bucket for c in carried}) > 3
     assert sorted(i for c in carried for i in c.doc_ids) == [i for i, _ in rows]
     assert sum(map(sum, (c.trained for c in cells))) == sum(len(t.split()) + 1 for i, t in rows if hpylm.in_training([i])[0])
+
+
+def test_far_pivots_eliminate_no_near_row():
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-6, 7, (3000, 4))
+    pivots = 10**8 * np.eye(4, dtype=np.int64) + 3
+    away = np.sqrt(((vectors[:, None, :] - pivots[None]) ** 2).sum(axis=2).astype(float))
+    rows = pa.table({"vec_id": np.arange(3000), "vector": pa.array(list(vectors), pa.list_(pa.int64())), "distances": pa.array(list(away), pa.list_(pa.float64()))})
+    query, row, score = topk.best_in_block(rows.slice(0, 40), rows, 10)
+    for i in range(40):
+        products = vectors @ vectors[i]
+        want = [j for j in np.lexsort((np.arange(3000), -products)) if j != i][:10]
+        assert row[query == i].tolist() == want and score[query == i].tolist() == products[want].tolist()
