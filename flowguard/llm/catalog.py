@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from flowguard.llm.common import table, written
 from flowguard.llm.decontaminate import contaminated
-from flowguard.llm import hpylm
+from flowguard.llm import hpylm, oracles
 from flowguard.llm.html_text import extract_text
+from flowguard.llm.merkle import manifest
 from flowguard.llm.neardup import near_components
 from flowguard.llm.packing import pack
 from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
@@ -112,3 +113,12 @@ def op9_minhash_components(spark: SparkSession, folder: str) -> DataFrame:
 def op10_page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(table(spark, folder, "pages"))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and verification of every document in the Merkle tree of its table."""
+    return manifest(table(spark, folder, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = oracles.OP11_MERKLE_MANIFEST
