@@ -15,6 +15,7 @@ from flowguard.llm.html_text import extract_text
 from flowguard.llm.merkle import manifest
 from flowguard.llm.neardup import near_components
 from flowguard.llm.packing import pack
+from flowguard.llm.repeats import remove_repeats
 from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
 from flowguard.llm.token_counts import section_counts
 from flowguard.llm.token_file import encode_segments, read_documents
@@ -122,3 +123,14 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_merkle_manifest"] = oracles.OP11_MERKLE_MANIFEST
+
+
+@_query
+def op13_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left of every document without its passages of 35 words that occur elsewhere."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    cut = remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_repeated_passages"] = oracles.OP13_REPEATED_PASSAGES

@@ -51,3 +51,21 @@ WITH RECURSIVE fields AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
 FROM (SELECT * FROM climb QUALIFY row_number() OVER (PARTITION BY tree, leaf_i ORDER BY level DESC) = 1), (SELECT hash AS root FROM top WHERE n = 1)
 """
+
+OP13_REPEATED_PASSAGES = """
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(translate(coalesce(text, ''), concat(chr(9), chr(10), chr(11), chr(12), chr(13)), '     '), ' '), lambda w: w <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT r, i, list_slice(words, i, i + 34) AS seq FROM split, unnest(range(1, len(words) - 33)) AS u(i)
+), again AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY seq) > 1
+), gone AS (
+  SELECT r, list_distinct(flatten(list(range(i, i + 35)))) AS places FROM again GROUP BY r
+), kept AS (
+  SELECT r, doc_id, len(words) AS n_words, len(coalesce(places, [])) AS n_removed,
+         array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: NOT list_contains(coalesce(places, []), z[2])), lambda z: z[1]), ' ') AS rest
+  FROM split LEFT JOIN gone USING (r)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(rest) AS kept_sha256 FROM kept
+"""
