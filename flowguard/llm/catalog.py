@@ -15,6 +15,7 @@ from flowguard.llm.html_text import extract_text
 from flowguard.llm.merkle import manifest
 from flowguard.llm.neardup import near_components
 from flowguard.llm.packing import pack
+from flowguard.llm.prefix_trie import conversation_trie
 from flowguard.llm.repeats import remove_repeats
 from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
 from flowguard.llm.token_counts import section_counts
@@ -125,6 +126,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_merkle_manifest"] = oracles.OP11_MERKLE_MANIFEST
 
 
+@_query
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(table(spark, folder, "conversations")).drop("key")
+
+
+ORACLES["op12_conversation_trie"] = oracles.OP12_CONVERSATION_TRIE
+
+
 @_query
 def op13_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of every document without its passages of 35 words that occur elsewhere."""

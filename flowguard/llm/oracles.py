@@ -52,6 +52,44 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folde
 FROM (SELECT * FROM climb QUALIFY row_number() OVER (PARTITION BY tree, leaf_i ORDER BY level DESC) = 1), (SELECT hash AS root FROM top WHERE n = 1)
 """
 
+OP12_CONVERSATION_TRIE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS o
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, max(o) AS n, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS digits FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT c.conv_id, h, least(h, coalesce(b.n, 0)) AS taken
+  FROM (SELECT conv_id, xor(list_reduce(digits, lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295), 4294967295) % 6 AS h FROM convs) c
+  LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100
+), rebuilt AS (
+  SELECT k.conv_id, t.o AS d, role, text FROM heads k JOIN turns t ON t.conv_id = k.conv_id - k.conv_id % 100 AND t.o <= h
+  UNION ALL
+  SELECT k.conv_id, taken + t.o - h, role, text FROM heads k JOIN turns t ON t.conv_id = k.conv_id AND t.o > h
+), steps AS (
+  SELECT conv_id, d, length(text) AS chars, string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM heads
+), paths AS (
+  SELECT conv_id, d, chars, sha256(prefix) AS node, lag(sha256(prefix)) OVER (PARTITION BY conv_id ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM steps
+), nodes AS (
+  SELECT node, min(d) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+  FROM paths GROUP BY node
+), kids AS (
+  SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT DISTINCT a.node, b.node AS lower FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.d >= a.d
+), sums AS (
+  SELECT below.node, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM below JOIN nodes ON lower = nodes.node LEFT JOIN kids ON kids.parent = lower GROUP BY below.node
+)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM nodes x JOIN sums USING (node) LEFT JOIN nodes p ON p.node = x.parent LEFT JOIN kids ON kids.parent = x.node
+"""
+
 OP13_REPEATED_PASSAGES = """
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(translate(coalesce(text, ''), concat(chr(9), chr(10), chr(11), chr(12), chr(13)), '     '), ' '), lambda w: w <> '') AS words
