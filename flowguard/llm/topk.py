@@ -53,7 +53,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int, rows: int) -> np.nda
 
 
 def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """``vectors`` with the distances to the pivots of their length."""
+    """``vectors`` with a number per row and the distances to the pivots of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,13 +62,14 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 x = np.asarray(vector.values.to_numpy(zero_copy_only=False), dtype=np.float64)
                 known = pivots.get(len(x))
                 distances.append(np.zeros(0) if known is None else np.sqrt(((known - x) ** 2).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distances, pa.list_(pa.float64()))], ["vec_id", "vector", "distances"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(distances, pa.list_(pa.float64()))], [*batch.schema.names, "distances"])
 
-    return vectors.mapInArrow(run, "vec_id long, vector array<long>, distances array<double>")
+    numbered = vectors.select("vec_id", "vector", F.monotonically_increasing_id().alias("row"))
+    return numbered.mapInArrow(run, "vec_id long, vector array<long>, row long, distances array<double>")
 
 
 def best_in_block(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row id, score) of the k best rows of a block for each query of a block."""
+    """(query row, row id, score) of the k best rows of a block for each query of a block."""
     width, nq, nx = len(queries.column("vector")[0]), queries.num_rows, rows.num_rows
     ids = rows.column("vec_id").to_numpy()
     order = np.argsort(ids, kind="stable")
@@ -79,7 +80,7 @@ def best_in_block(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray
     pivots = len(queries.column("distances")[0])
     dq, dx = _matrix(queries.column("distances"), pivots, nq), _matrix(rows.column("distances"), pivots, nx)[order].T.copy()
     q2, x2 = (q.astype(np.float64) ** 2).sum(axis=1), (x.astype(np.float64) ** 2).sum(axis=1)
-    own = queries.column("vec_id").to_numpy()
+    own, numbers = queries.column("row").to_numpy(), rows.column("row").to_numpy()[order]
     found = [], [], []
     gap, least = np.empty(nx), np.empty(nx)
     for i in range(nq):
@@ -89,7 +90,7 @@ def best_in_block(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndarray
             np.maximum(least, np.abs(gap, out=gap), out=least)
         total = q2[i] + x2
         bound = (total - least**2) / 2 + SLACK * (1 + total)
-        bound[np.searchsorted(ids, own[i]) : np.searchsorted(ids, own[i], "right")] = -np.inf
+        bound[numbers == own[i]] = -np.inf
         seen = np.argpartition(bound, nx - FIRST)[nx - FIRST :] if nx > FIRST else np.arange(nx)
         score = x[seen] @ q[i]
         score, seen = score[np.isfinite(bound[seen])], seen[np.isfinite(bound[seen])]
@@ -120,29 +121,32 @@ def whole_vectors(rows: DataFrame, scale: int = 64, id_col: str = "vec_id", vect
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     whole = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & whole)
-    return usable.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("vector")).distinct()
+    return usable.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("vector"))
 
 
-def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """The k best rows of every query: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and an array of whole numbers (see ``whole_vectors``). A query
-    meets every row of its own vector length except those with its id; ties go to the
-    smaller id; fewer rows give fewer ranks. Rows that repeat id and vector count once; a
-    query id with several vectors searches with the smallest. An empty table gives no rows.
+    meets every row of its own vector length except itself; ties go to the smaller id;
+    fewer rows give fewer ranks. Rows that repeat an id are candidates, and queries, of their
+    own, whatever their vectors. An empty table gives no rows.
     """
     table = written(pivot_table(vectors, choose_pivots(vectors)), "pivots")
     total = table.agg(F.count("*"), F.count_if(is_query)).first()
     row_blocks, query_blocks = max(1, -(-total[0] // ROW_BLOCK)), max(1, -(-total[1] // QUERY_BLOCK))
     size = F.size("vector").alias("size")
-    queries = table.where(is_query).groupBy("vec_id").agg(F.min(F.struct("vector", "distances")).alias("s")).select("vec_id", "s.vector", "s.distances")
-    queries = queries.select(size, F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("a"), F.explode(_numbers(row_blocks)).alias("b"), "vec_id", "vector", "distances")
-    rows = table.select(size, F.explode(_numbers(query_blocks)).alias("a"), F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).alias("b"), "vec_id", "vector", "distances")
+    columns = ["vec_id", "vector", "row", "distances"]
+    queries = table.where(is_query).select(size, F.pmod(F.xxhash64("row"), F.lit(query_blocks)).alias("a"), F.explode(_numbers(row_blocks)).alias("b"), *columns)
+    rows = table.select(size, F.explode(_numbers(query_blocks)).alias("a"), F.pmod(F.xxhash64("row"), F.lit(row_blocks)).alias("b"), *columns)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         query, row, score = best_in_block(left, right, k) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": query, "vec_id": row, "score": score})
+        at = left.column("row").to_numpy() if left.num_rows else np.zeros(0, np.int64)
+        order = np.argsort(at)
+        names = left.column("vec_id").to_numpy()[order][np.searchsorted(at[order], query)] if len(query) else query
+        return pa.table({"query": query, "query_id": names, "vec_id": row, "score": score})
 
-    found = queries.groupBy("size", "a", "b").cogroup(rows.groupBy("size", "a", "b")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy("size", "a", "b").cogroup(rows.groupBy("size", "a", "b")).applyInArrow(meet, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
