@@ -12,9 +12,8 @@ A window is ``width`` consecutive words. A word goes if a window over it occurs
    passages where they follow each other. Windows of a split group that are single in
    their split are counted over all splits by a 128-bit hash.
 4. *Automata.* Passages are dealt into shards. A shard compiles blocks of ``(width + 1) // 2``
-   words, which every window holds one of, with words as letters, and streams every stretch
-   of its owners. A hit is extended along the passage; agreeing runs of ``width`` words are
-   occurrences, compared word by word.
+   words, which every window holds one of, and streams every stretch of its owners. Windows
+   around a hit are looked up among the shard's and compared word by word.
 """
 
 from __future__ import annotations
@@ -34,11 +33,14 @@ from flowguard.session import ensure_checkpoint_dir
 
 WIDTH = 35
 HOT = 4096
+SALTS = 8
 SHARD_WORDS = 200_000
+BATCH_WORDS = 100_000
+BASE = 64
 CHUNK_BYTES = 2 << 20
 OPEN_BYTES = 24 << 20
 
-ANCHORS = "key long, anchors array<struct<anchor:long,first:int,last:int>>"
+ANCHORS = "key long, anchors array<struct<anchor:long,runs:array<struct<first:int,last:int>>>>"
 STRETCHES = "owner long, level int, key long, start int, words binary"
 LOCAL = "owner long, level int, key long, start int, words binary, one long, two long"
 SPANS = "key long, spans array<struct<start:int,end:int>>"
@@ -91,7 +93,7 @@ def anchor_runs(hashes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np
 
 
 def _anchors(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+    run_kind = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordHashes()
@@ -103,10 +105,14 @@ def _anchors(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 anchor, first, last = anchor_runs(hashes, lengths, width)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
                 doc = np.searchsorted(offsets, first, side="right") - 1
-                base = offsets[doc]
-                items = pa.StructArray.from_arrays([pa.array(anchor), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], fields=list(kind.value_type))
-                bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), items, type=kind)], ["key", "anchors"])
+                order = np.lexsort((first, anchor, doc))
+                anchor, doc, base = anchor[order], doc[order], offsets[doc[order]]
+                runs = pa.StructArray.from_arrays([pa.array((x[order] - base).astype(np.int32)) for x in (first, last)], fields=list(run_kind))
+                heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])) if len(anchor) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(anchor)).astype(np.int32)), runs)
+                items = pa.StructArray.from_arrays([pa.array(anchor[heads]), lists], ["anchor", "runs"])
+                bounds = np.searchsorted(doc[heads], np.arange(len(texts) + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), items)], ["key", "anchors"])
 
     return run
 
@@ -120,15 +126,9 @@ def _stretches(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 rows = []
                 for key, text, marks in zip(*(part.column(i).to_pylist() for i in range(3))):
                     words = text.split()
-                    marks.sort(key=lambda m: (m["owner"], m["level"], m["first"]))
-                    for (owner, level), group in groupby(marks, key=lambda m: (m["owner"], m["level"])):
-                        start = end = -1
-                        for m in group:
-                            if m["first"] > end and end >= 0:
-                                rows.append((owner, level, key, start, b" ".join(words[start:end])))
-                                start = -1
-                            start, end = m["first"] if start < 0 else start, max(end, m["last"] + width)
-                        rows.append((owner, level, key, start, b" ".join(words[start:end])))
+                    runs = sorted((m["owner"], m["level"], r["first"], r["last"] + width) for m in marks for r in m["runs"])
+                    for (owner, level), group in groupby(runs, key=lambda r: r[:2]):
+                        rows += [(owner, level, key, start, b" ".join(words[start:end])) for start, end in merged([r[2:] for r in group])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -225,43 +225,67 @@ def _recut(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 class Shard:
-    """Automaton over the blocks of some passages, with words as letters."""
+    """Automaton over the blocks of some passages.
+
+    A word is spelled in a few letters of base ``BASE``, each place with letters of its own, so
+    that blocks match at whole words only and no state has many successors.
+    """
 
     def __init__(self, passages: list[bytes], width: int):
         self.width, self.step = width, (width + 1) // 2
         self.codes: dict[bytes, int] = {}
-        self.passages = []
-        blocks: dict[tuple, list] = {}
-        for text in passages:
-            codes = [self.codes.setdefault(w, len(self.codes) + 1) for w in text.split(b" ")]
-            for at in range(0, len(codes) - self.step + 1, self.step):
-                blocks.setdefault(tuple(codes[at : at + self.step]), []).append((len(self.passages), at))
-            self.passages.append(np.array(codes))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for block, places in blocks.items():
-            self.automaton.add_word(block, places)
+        coded = [np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in text.split(b" ")], np.uint64) for text in passages]
+        self.places = 1
+        while BASE**self.places <= len(self.codes):
+            self.places += 1
+        lengths = np.array([len(c) for c in coded], np.int64)
+        self.line = np.concatenate([*coded, np.zeros(width, np.uint64)])
+        starts = _inside(lengths, width)
+        hashes = sequence_hash(self.line, width)[starts]
+        order = np.argsort(hashes, kind="stable")
+        self.windows, self.starts = hashes[order], starts[order]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for line in coded:
+            letters = self.letters(line)
+            for at in range(0, len(line) - self.step + 1, self.step):
+                self.automaton.add_word(tuple(letters[at * self.places : (at + self.step) * self.places]))
         self.automaton.make_automaton()
 
-    def spans(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """Merged (start, end) of all runs of at least ``width`` words shared with a passage."""
-        if not self.passages:
-            return []
-        codes = [self.codes.get(w, 0) for w in words]
-        line, seen, found = np.array(codes), set(), []
-        for end, places in self.automaton.iter(tuple(codes)):
-            for passage, at in places:
-                shift = end + 1 - self.step - at
-                if (passage, shift) in seen:
-                    continue
-                seen.add((passage, shift))
-                other = self.passages[passage]
-                low, high = max(0, shift), min(len(line), shift + len(other))
-                if high - low < self.width:
-                    continue
-                apart = np.flatnonzero(line[low:high] != other[low - shift : high - shift])
-                edges = np.concatenate([[-1], apart, [high - low]])
-                found += [(low + edges[i] + 1, low + edges[i + 1]) for i in np.flatnonzero(np.diff(edges) > self.width)]
-        return merged(found)
+    def letters(self, line: np.ndarray) -> list[int]:
+        digits = [line // np.uint64(BASE**i) % np.uint64(BASE) + np.uint64(i * BASE) for i in range(self.places)]
+        return np.stack(digits, axis=1).ravel().tolist()
+
+    def covered(self, stretches: list[list[bytes]]) -> list[list[tuple[int, int]]]:
+        """Per stretch, the merged (start, end) of all its windows that a passage holds."""
+        if not len(self.windows):
+            return [[] for _ in stretches]
+        line = np.array([self.codes.get(w, 0) for words in stretches for w in words], np.uint64)
+        lengths = np.array([len(words) for words in stretches], np.int64)
+        ends = np.array([end for end, _ in self.automaton.iter(tuple(self.letters(line)))], np.int64) // self.places
+        near = np.zeros(len(line) + 2 * self.width, np.int32)
+        np.add.at(near, np.maximum(ends - self.width + 1, 0), 1)
+        np.add.at(near, ends - self.step + 2, -1)
+        starts = _inside(lengths, self.width)
+        starts = starts[np.cumsum(near)[starts] > 0]
+        if len(starts):
+            hashes = sequence_hash(line, self.width)[starts]
+            at = np.minimum(np.searchsorted(self.windows, hashes), len(self.windows) - 1)
+            own, other = (np.lib.stride_tricks.sliding_window_view(x, self.width) for x in (line, self.line))
+            found = self.windows[at] == hashes
+            starts, at = starts[found], self.starts[at[found]]
+            parts = [np.arange(i, min(i + 20_000, len(starts))) for i in range(0, len(starts), 20_000)]
+            same = [(own[starts[p]] == other[at[p]]).all(axis=1) for p in parts]
+            starts = starts[np.concatenate([*same, np.zeros(0, bool)])]
+        edges = np.cumsum(lengths)
+        row = np.searchsorted(edges, starts, side="right")
+        out: list[list[tuple[int, int]]] = [[] for _ in stretches]
+        for r, start in zip(row.tolist(), (starts - (edges - lengths)[row]).tolist()):
+            spans = out[r]
+            if spans and start <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], start + self.width)
+            else:
+                spans.append((start, start + self.width))
+        return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -279,22 +303,28 @@ def _located(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, passages, shard = None, [], None
+        current, passages, shard, held, size = None, [], None, [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = [(key, [{"start": int(a + start), "end": int(b + start)} for a, b in found]) for (key, start, _), found in zip(held, shard.covered([h[2] for h in held])) if found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], span)], ["key", "spans"])
+
         for batch in batches:
-            keys, spans = [], []
             for unit, key, start, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (unit != current or size > BATCH_WORDS):
+                    yield from close()
+                    held, size = [], 0
                 if unit != current:
                     current, passages, shard = unit, [], None
                 if key is None:
                     passages.append(words)
                     continue
                 shard = shard or Shard(passages, width)
-                found = shard.spans(words.split(b" "))
-                if found:
-                    keys.append(key)
-                    spans.append([{"start": int(a + start), "end": int(b + start)} for a, b in found])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, span)], ["key", "spans"])
+                held.append((key, start, words.split(b" ")))
+                size += len(held[-1][2])
+        if held:
+            yield from close()
 
     return run
 
@@ -377,9 +407,11 @@ def find_repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     runs = written(texts.select("key", "text").mapInArrow(_anchors(width), ANCHORS).where(F.size("anchors") > 0), "anchors")
     seen = runs.select("key", F.inline("anchors"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / HOT))).cast("int")
-    often = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1")
-    marked = seen.join(often.select("anchor", "owner", level.alias("level")), "anchor")
-    marks = marked.groupBy("key").agg(F.collect_list(F.struct("owner", "level", "first", "last")).alias("marks"))
+    often = seen.groupBy("anchor").agg(F.sum(F.size("runs")).alias("n"), F.min("key").alias("owner")).where("n > 1")
+    # one row per text and anchor, and an anchor's texts are dealt to several tasks
+    salted = often.select("anchor", "owner", level.alias("level"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    marked = seen.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["anchor", "salt"])
+    marks = marked.groupBy("key").agg(F.collect_list(F.struct("owner", "level", "runs")).alias("marks"))
     stretches = written(texts.select("key", "text").join(marks, "key").mapInArrow(_stretches(width), STRETCHES), "stretches")
     keys = ["shard", "level", "split", "part"]
     rows = _shards(find_passages(stretches, width), stretches).repartition(spread(spark), *keys).sortWithinPartitions(*keys, "kind", "key", "start")
