@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of
+from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of, written
 from flowguard.operators.single import attach_row
 
 BUCKET_BYTES = 24 << 20
@@ -253,8 +253,7 @@ class WordCodes(dict):
         """Codes of the words of every text, and the hash of every code."""
         if len(self) > CACHE_WORDS:
             self.reset()
-        words = [words_of(text) for text in texts]
-        codes = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
+        codes = [np.fromiter(map(self.__getitem__, words_of(text)), np.int32) for text in texts]
         return codes, np.array(self.known, np.uint64)
 
 
@@ -308,18 +307,24 @@ def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: n
     """Per bucket: contexts, pairs of each, words, occurrences of each pair and their rows."""
     texts, hashes = numbers.block(text.as_py() for text in batch.column(1))
     sizes = np.array([len(own) + 1 for own in texts], np.int64)
-    start = np.zeros(1, np.int64)
+    start = np.zeros(1, np.int32)
     stream = np.concatenate([part for own in texts for part in (start, own)] + [start])
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    del texts
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     before, after = stream[:-1], stream[1:].copy()
     after[np.cumsum(sizes) - 1] = 1
     bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)[before]
     spread = np.flatnonzero(np.isin(hashes, hot)[before])
     with np.errstate(over="ignore"):
         bucket[spread] = mix(hashes[before[spread]] * _PRIME + hashes[after[spread]]) % np.uint64(buckets)
-    key = (bucket * len(hashes) + before) * len(hashes) + after
+    key = bucket
+    for part in (before, after):
+        key *= len(hashes)
+        key += part
+    del stream, before, after, bucket, spread
     order = np.argsort(key)
     key, row = key[order], row[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     times = np.diff(np.append(first, len(key)))
     rest, pair_word = np.divmod(key[first], len(hashes))
@@ -362,7 +367,8 @@ def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
     """Hashes of the words that hold more than a quarter of a bucket's mean share.
 
-    Fewer than ``8 * buckets`` by construction. They only steer how work is dealt.
+    Fewer than ``8 * buckets`` by construction. They only steer how work is dealt, and are
+    counted over all rows, so that they do not depend on how rows are partitioned.
     """
     share = 1 / (8 * buckets)
 
@@ -372,9 +378,8 @@ def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
             texts, words = numbers.block(text.as_py() for text in batch.column(0))
             counts = np.bincount(np.concatenate(texts), minlength=len(words)) if texts else np.zeros(len(words), np.int64)
             counts[0] = len(texts)
-            total = counts.sum()
-            many = counts > share * total
-            words, counts = np.append(words[many], np.uint64(0)), np.append(counts[many], total)
+            held = counts > 0
+            words, counts = np.append(words[held], np.uint64(0)), np.append(counts[held], counts.sum())
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
@@ -421,17 +426,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_word, F.col("customers"))), F.lit(0)).alias("n"), F.count_if(is_word).alias("v"), F.coalesce(F.sum(F.when(is_word, F.col("tables"))), F.lit(0.0)).alias("t")
     )
 
-    def parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(TaskContext.get().partitionId())
-        for batch in batches:
-            kind, customers = batch.column(0).to_numpy(), np.rint(batch.column(3).to_numpy()).astype(np.int64) * (batch.column(0).to_numpy() == WORD)
-            v = batch.column(6).to_numpy()
-            weight = (PARENT_STRENGTH + PARENT_DISCOUNT * v) / (v + 1)
-            tables = draw_tables(customers, weight, PARENT_DISCOUNT, random)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(kind == WORD, tables, 0).astype(np.float64))], [*batch.schema.names, "parents"])
-
-    known = attach_row(merged, totals).select("kind", "key", "customers", "tables", "buckets", "n", "v", "t")
-    seated = known.mapInArrow(parent, "kind int, key long, customers long, tables double, buckets array<int>, n long, v long, t double, parents double")
+    def parent(key: tuple, rows: pa.Table) -> pa.Table:
+        # the order and the seed of a group depend on its words alone
+        rows = rows.sort_by([("kind", "ascending"), ("key", "ascending")])
+        word, v = rows.column("kind").to_numpy() == WORD, rows.column("v").to_numpy()
+        customers = np.rint(rows.column("tables").to_numpy()).astype(np.int64) * word
+        weight = (PARENT_STRENGTH + PARENT_DISCOUNT * v) / (v + 1)
+        tables = draw_tables(customers, weight, PARENT_DISCOUNT, np.random.default_rng(key[0].as_py()))
+        buckets_of = rows.column("buckets").cast(pa.list_(pa.int32()))
+        rows = rows.drop_columns("cell").set_column(rows.schema.get_field_index("buckets"), "buckets", buckets_of)
+        return rows.append_column("parents", pa.array(np.where(word, tables, 0).astype(np.float64)))
+
+    cell = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("cell")
+    known = attach_row(merged, totals).select("kind", "key", "customers", "tables", "buckets", "n", "v", "t", cell)
+    seated = known.groupBy("cell").applyInArrow(parent, "kind int, key long, customers long, tables double, buckets array<int>, n long, v long, t double, parents double")
+    seated = written(seated, "parents")
     seated = attach_row(seated, seated.agg(F.coalesce(F.sum("parents"), F.lit(0.0)).alias("p")))
     new = (F.lit(PARENT_STRENGTH) + PARENT_DISCOUNT * F.col("p")) / (F.col("v") + 1)
     chance = (F.greatest(F.col("tables") - PARENT_DISCOUNT * F.col("parents"), F.lit(0.0)) + new) / (PARENT_STRENGTH + F.col("t"))

@@ -35,7 +35,7 @@ STATES = 4
 RATE_UP = 32
 LIMIT = 1 << 14
 HALVE_EVERY = 128
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 4 << 20
 END_ID = 2
 
 _TOP = np.uint64(1 << 48)

@@ -190,10 +190,11 @@ def test_top_products_match_brute_force(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(40)] + [(400, None), (401, [1.0] * 7 + [None]), (402, [math.nan] * 8), (403, [math.inf] * 8), (404, [0.5] * 3), (None, [0.1] * 8), (0, rows[0][1])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
-    got = topk.top_inner_products(topk.whole_vectors(frame), F.col("vec_id") % 20 == 0, 10).collect()
-    good = {i: np.floor(np.array(v) * 64) for i, v in rows if i is not None and v and None not in v and len(v) == 8 and np.isfinite(v).all()}
-    want = [(q, n + 1, i, int(s)) for q in good if q % 20 == 0 for n, (s, i) in enumerate(sorted(((-(good[q] @ x), i) for i, x in good.items() if i != q))[:10]) for s in [-s]]
+    got = topk.top_inner_products(topk.whole_vectors(frame), F.col("vec_id") % 20 == 0, 20).collect()
+    good = [(i, np.floor(np.array(v) * 64)) for i, v in rows if i is not None and v and None not in v and len(v) == 8 and np.isfinite(v).all()]
+    want = [(q, n + 1, i, -s) for at, (q, x) in enumerate(good) if q % 20 == 0 for n, (s, i) in enumerate(sorted((int(-(x @ y)), i) for other, (i, y) in enumerate(good) if other != at)[:20])]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert len(got) == 20 * (len([q for q, _ in good if q % 20 == 0])) and sum(q == 0 for q, _ in good) == 2
     assert topk.top_inner_products(topk.whole_vectors(frame.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -358,9 +359,23 @@ def test_far_pivots_eliminate_no_near_row():
     vectors = rng.integers(-6, 7, (3000, 4))
     pivots = 10**8 * np.eye(4, dtype=np.int64) + 3
     away = np.sqrt(((vectors[:, None, :] - pivots[None]) ** 2).sum(axis=2).astype(float))
-    rows = pa.table({"vec_id": np.arange(3000), "vector": pa.array(list(vectors), pa.list_(pa.int64())), "distances": pa.array(list(away), pa.list_(pa.float64()))})
+    rows = pa.table({"vec_id": np.arange(3000), "row": np.arange(3000), "vector": pa.array(list(vectors), pa.list_(pa.int64())), "distances": pa.array(list(away), pa.list_(pa.float64()))})
     query, row, score = topk.best_in_block(rows.slice(0, 40), rows, 10)
     for i in range(40):
         products = vectors @ vectors[i]
         want = [j for j in np.lexsort((np.arange(3000), -products)) if j != i][:10]
         assert row[query == i].tolist() == want and score[query == i].tolist() == products[want].tolist()
+
+
+def test_scores_do_not_depend_on_the_number_of_partitions(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(WORDS[:60], k=30))) for i in range(150)]
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(sorted((r.doc_id, r.score) for r in hpylm.score_texts(docs_of(spark, rows).repartition(n)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(i, round(s, 6)) for i, s in found[0]] == [(i, round(s, 6)) for i, s in found[1]]
