@@ -32,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of, written
+from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of
 from flowguard.operators.single import attach_row
 
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 12 << 20
 LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
@@ -367,26 +367,34 @@ def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
     """Hashes of the words that hold more than a quarter of a bucket's mean share.
 
-    Fewer than ``8 * buckets`` by construction. They only steer how work is dealt, and are
-    counted over all rows, so that they do not depend on how rows are partitioned.
+    Fewer than ``8 * buckets`` by construction. They only steer how work is dealt. A word
+    with twice the share overall has the share in some batch, and the batches where it has
+    hold half of it; what passes that is counted again over all rows, so that the choice
+    does not depend on how rows are partitioned.
     """
     share = 1 / (8 * buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordCodes()
-        for batch in batches:
-            texts, words = numbers.block(text.as_py() for text in batch.column(0))
-            counts = np.bincount(np.concatenate(texts), minlength=len(words)) if texts else np.zeros(len(words), np.int64)
-            counts[0] = len(texts)
-            held = counts > 0
-            words, counts = np.append(words[held], np.uint64(0)), np.append(counts[held], counts.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+    def counted(wanted: np.ndarray | None) -> dict[int, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = WordCodes()
+            for batch in batches:
+                texts, words = numbers.block(text.as_py() for text in batch.column(0))
+                counts = np.bincount(np.concatenate(texts), minlength=len(words)) if texts else np.zeros(len(words), np.int64)
+                counts[0] = len(texts)
+                total = counts.sum()
+                held = counts > share * total if wanted is None else np.isin(words, wanted) & (counts > 0)
+                words, counts = np.append(words[held], np.uint64(0)), np.append(counts[held], total)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
+        counts = docs.select(text_bytes().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(8 * buckets + 1).collect()}
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
-    counts = docs.select(text_bytes().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(8 * buckets + 1).collect()}
-    total = rows.pop(0, 0)
-    return np.array([w for w, n in rows.items() if n > 2 * share * total], np.int64).view(np.uint64)
+    found = counted(None)
+    total = found.pop(0, 0)
+    near = np.array([w for w, n in found.items() if n >= share * total], np.int64).view(np.uint64)
+    exact = counted(near) if len(near) else {}
+    return np.array(sorted(w for w, n in exact.items() if w != 0 and n > 2 * share * total), np.int64).view(np.uint64)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -440,7 +448,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
     cell = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("cell")
     known = attach_row(merged, totals).select("kind", "key", "customers", "tables", "buckets", "n", "v", "t", cell)
     seated = known.groupBy("cell").applyInArrow(parent, "kind int, key long, customers long, tables double, buckets array<int>, n long, v long, t double, parents double")
-    seated = written(seated, "parents")
     seated = attach_row(seated, seated.agg(F.coalesce(F.sum("parents"), F.lit(0.0)).alias("p")))
     new = (F.lit(PARENT_STRENGTH) + PARENT_DISCOUNT * F.col("p")) / (F.col("v") + 1)
     chance = (F.greatest(F.col("tables") - PARENT_DISCOUNT * F.col("parents"), F.lit(0.0)) + new) / (PARENT_STRENGTH + F.col("t"))
