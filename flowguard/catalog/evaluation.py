@@ -237,38 +237,22 @@ def forest_fit_score(spark, folder):
     """Isolation forest over the embedding vectors."""
     e = vector_columns(tables.table(spark, folder, "embeddings"), "embedding", 64)
     names = [f"f{i}" for i in range(64)]
-    forest = fit_forest(e, names, ForestConfig(n_estimators=100), key_cols=["vec_id"])
+    forest = fit_forest(e, names, key_cols=["vec_id"])
     return score_forest(e, forest).select("vec_id", "score_if", "score_if_normalized", "pred_if", "if_confidence")
 
 
-def _scored(spark, folder):
+def scored_fitted(spark, folder):
+    """Both detectors fitted with their defaults on the windows they score."""
     w = cut_lineage(fw_windows(spark, folder))
-    return score_windows(w, fit_models(w, ForestConfig(n_estimators=100)))
-
-
-def scored_windows(spark, folder):
-    return _scored(spark, folder).select(
+    return score_windows(w, fit_models(w)).select(
         "window_id", "score_if", "score_ae", "ensemble_score", "final_label", "attack_type", "risk_level", "confidence", "decision_source"
     )
 
 
-def window_reports(spark, folder):
-    return row_reports(_scored(spark, folder))
-
-
-def inference_report_counts(spark, folder):
-    return inference_counts(_scored(spark, folder))
-
-
-def inference_report_numbers(spark, folder):
-    return inference_numbers(_scored(spark, folder))
-
-
 def trained_metrics(spark, folder):
-    """Split, tune, refit and evaluate on labelled windows."""
+    """Split, tune the whole grid under every balance, refit and evaluate on labelled windows."""
     w = cut_lineage(fw_windows(spark, folder)).withColumn("y", (F.col("blocked_count") >= 3).cast("int"))
-    grid = [ForestConfig(n, c) for n in (20, 40) for c in (0.05, 0.1)]
-    model, _, split = train_tuned(w, "y", ["window_id"], strategy="undersample_normal", grid=grid)
+    model, _, split = train_tuned(w, "y", ["window_id"])
     return evaluate_splits(split, model, "y")
 
 
@@ -279,7 +263,7 @@ QUERIES = {
         dq_audit, profile_columns, summary_numbers, score_stats, score_normalise, pct_threshold, confusion,
         metrics_by_split, metrics_by_module, profile_delta, split_comparison, threshold_sweep, sweep_best,
         sweep_ensemble, split_counts, balance_under, balance_over, row_cap_counts, recon_error, forest_fit_score,
-        scored_windows, window_reports, inference_report_counts, inference_report_numbers, trained_metrics,
+        scored_fitted, trained_metrics,
     )
 }
 QUERIES["scale_std"] = _scaled("standard")

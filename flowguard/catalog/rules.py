@@ -30,7 +30,6 @@ def rule_reasons(spark, folder):
         analyze_behaviour(fw_windows(spark, folder))
         .groupBy("heuristic_attack_type", "heuristic_reason")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("heuristic_attack_type", F.length("heuristic_reason").alias("reason_length"), "n")
     )
 
 
@@ -145,7 +144,7 @@ def ai_flags(spark, folder):
         "id", "ai_support", "ai_support_conservative", "ai_support_type", "ai_support_level",
         F.col("ai_support_signals.isolation_forest.passed").alias("forest_passed"),
         F.col("ai_support_signals.conservative_passed").alias("all_passed"),
-        F.length("ai_support_reason").alias("reason_length"),
+        "ai_support_reason",
     )
 
 
@@ -165,7 +164,18 @@ QUERIES = {
 }
 
 _VERDICT = "SELECT window_id, heuristic_attack_type <> 'normal' AS heuristic_detected_attack, heuristic_attack_type, heuristic_confidence FROM verdict"
-_LENGTHS = " ".join(f"WHEN '{k}' THEN {len(v)}" for k, v in V.RULE_REASONS.items())
+# Reason texts of the rules and of the AI support, as the windows must show them.
+REASON_SQL = """CASE WHEN kind = 'port_scan' THEN 'Muitas conexoes SYN para muitas portas de destino em uma janela curta sugerem atividade de port scan.'
+ WHEN kind = 'syn_flood' THEN 'Predominio de pacotes SYN pequenos e bloqueados para poucas portas e poucos destinos e compativel com syn flood.'
+ WHEN kind = 'ddos' THEN 'Volume anormalmente alto de conexoes, bytes ou pacotes sugere padrao compativel com DDoS.'
+ WHEN kind = 'brute_force' THEN 'Tentativas repetidas e bloqueadas em porta sensivel, especialmente SSH, sao compativeis com brute force.'
+ WHEN kind = 'ssh_suspicious' THEN 'Bloqueios repetidos em porta de administracao, especialmente 22/TCP, indicam atividade SSH suspeita.'
+ WHEN kind = 'unknown_anomaly' THEN 'O grupo apresentou bloqueios e padroes de flags ou portas fora do esperado, mas sem assinatura heuristica forte para uma familia especifica.'
+ WHEN benign THEN 'Padrao compativel com trafego benigno de saida em portas comuns, sem assinatura forte de varredura ou bloqueio.'
+ ELSE 'Nenhuma regra comportamental forte foi acionada.' END"""
+SUPPORT_SQL = """CASE WHEN st THEN 'ensemble_score, autoencoder_score e score_if_normalized atingiram os limiares conservadores de suporte da IA; metadado auxiliar sem alterar final_label, attack_type ou risk_level.'
+ WHEN en THEN 'ensemble_score atingiu o limiar calibrado de suporte da IA; metadado auxiliar sem alterar final_label, attack_type ou risk_level.'
+ ELSE 'Nenhum criterio calibrado de suporte da IA foi atingido; a decisao final permanece inalterada.' END"""
 _SCORES = f"""
 h AS ({HIST}),
 s AS (SELECT id, if_norm - 0.5 AS score_if, if_norm AS score_if_normalized, if_pred AS pred_if,
@@ -177,11 +187,11 @@ s AS (SELECT id, if_norm - 0.5 AS score_if, if_norm AS score_if_normalized, if_p
 """
 
 
-def _ensemble_sql(profile: str) -> str:
+def _ensemble_sql(profile: str, scores: str = _SCORES) -> str:
     c = ensemble_profile(profile=profile)
     wi, wa = c.weights()
     low = f"OR alert >= {c.strong}" if profile == "balanced" else ""
-    return f"""{_SCORES.strip()},
+    return f"""{scores.strip()},
 e1 AS (SELECT *, least(score_ae, 1) AS ratio1, 1 / (1 + exp(-((score_if - ({c.alert_center})) / {c.alert_scale}))) AS base,
   CASE WHEN pred_ae = 1 AND (score_ae_normalized >= {c.strong} OR score_ae >= 1.5 OR score_ae >= 0.64) THEN 'high'
    WHEN pred_ae = 1 OR (score_ae_normalized >= {c.moderate} AND score_ae >= 0.75) OR score_ae >= 0.32 THEN 'medium' ELSE 'low' END AS band FROM s),
@@ -194,7 +204,7 @@ e4 AS (SELECT *, greatest(0, least(1, risk * CAST({wa} AS DOUBLE) + alert * CAST
 e AS (SELECT *, CASE WHEN ens >= {c.support_threshold()} AND (band <> 'low' {low}) THEN 1 ELSE 0 END AS ens_pred FROM e4)"""
 
 
-def _decision_sql(profile: str) -> str:
+def _decision_sql(profile: str, scores: str = _SCORES) -> str:
     c = decision_profile(profile=profile)
     balanced = profile == "balanced"
     if balanced:
@@ -224,7 +234,7 @@ def _decision_sql(profile: str) -> str:
    WHEN 2 THEN ['ae_primary','ae_high_risk'] WHEN 3 THEN ['contextual_agreement','ae_contextual_band'] WHEN 4 THEN ['ae_primary','ae_medium_risk']
    WHEN 20 THEN ['suppressed_by_context','suppressed_by_context'] ELSE ['full_agreement_negative','safe_negative'] END"""
         least = (0.08, 0.90, 0.90, 0.86, 0.78)
-    return f"""WITH {_ensemble_sql(profile)},
+    return f"""WITH {_ensemble_sql(profile, scores)},
 d1 AS (SELECT *, kind <> 'normal' AS hit, CASE WHEN kind = 'unknown' THEN 'unknown_anomaly' ELSE kind END AS fam,
   CASE WHEN pred_ae = 1 AND (score_ae_normalized >= {c.strong} OR score_ae >= 1.5 OR score_ae >= 0.64) THEN 'high'
    WHEN pred_ae = 1 OR (score_ae_normalized >= {c.moderate} AND score_ae >= 0.75) OR score_ae >= 0.32 THEN 'medium' ELSE 'low' END AS own,
@@ -282,8 +292,7 @@ ORACLES = {
     "rules_port_scan": rules_sql(SCAN_SQL, _VERDICT),
     "rule_reasons": rules_sql(
         MODES_SQL,
-        f"""SELECT heuristic_attack_type, CASE (CASE WHEN heuristic_attack_type <> 'normal' THEN heuristic_attack_type WHEN benign THEN 'safe_services' ELSE 'no_rule' END) {_LENGTHS} END AS reason_length,
- count(*) AS n FROM verdict GROUP BY 1, 2""",
+        f"SELECT kind AS heuristic_attack_type, {REASON_SQL} AS heuristic_reason, count(*) AS n FROM (SELECT *, heuristic_attack_type AS kind FROM verdict) GROUP BY 1, 2",
     ),
     "port_sets": rules_sql(
         MODES_SQL,
@@ -306,7 +315,7 @@ SELECT id, round(a, 9) AS if_score_scaled, round(b, 9) AS ae_score_scaled, round
 SELECT id, en AS ai_support, st AS ai_support_conservative,
  CASE WHEN st THEN 'ensemble_autoencoder_if' WHEN en THEN 'ensemble_score' ELSE 'none' END AS ai_support_type,
  CASE WHEN st THEN 'strong' WHEN en THEN 'moderate' ELSE 'none' END AS ai_support_level, fo AS forest_passed, st AS all_passed,
- CASE WHEN st THEN {len(V.AI_SUPPORT_REASONS['strong'])} WHEN en THEN {len(V.AI_SUPPORT_REASONS['moderate'])} ELSE {len(V.AI_SUPPORT_REASONS['none'])} END AS reason_length FROM f""",
+ {SUPPORT_SQL} AS ai_support_reason FROM f""",
     "decision_balanced": _decision_sql("balanced"),
     "decision_conservative": _decision_sql("conservative"),
 }

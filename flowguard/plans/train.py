@@ -12,9 +12,9 @@ from flowguard.config import EnsembleConfig
 from flowguard.operators.ensemble import ensemble_sweep, sweep_candidates
 from flowguard.operators.evaluation import best_candidate, binary_metrics, metrics_by_module, target_counts, threshold_sweep
 from flowguard.operators.forest import (
-    Forest, ForestConfig, anomaly_score, calibrate, collect_forests, fit_forest, forest_grid, grow_forests, score_forest, tree_prefix,
+    Forest, ForestConfig, anomaly_scores, calibrate, fit_forest, forest_grid, grow_forests, score_forest, stored_forests, tree_prefix,
 )
-from flowguard.operators.quantiles import exact_percentiles
+from flowguard.operators.quantiles import column_percentiles, exact_percentiles
 from flowguard.operators.reconstruction import (
     Reconstruction, fit_components, fit_reconstruction, reconstruction_error, score_reconstruction, with_threshold,
 )
@@ -41,9 +41,9 @@ def tune_forest(
 ) -> tuple[Forest, DataFrame]:
     """Metrics of every candidate and the calibrated best forest.
 
-    Trees differ only by sample size, so one grouped job grows the largest forest of
-    each sample size; smaller forests are its first trees, and every contamination
-    is a percentile of the same scores.
+    Trees differ only by sample size, so one job grows the largest forest of each sample
+    size; smaller forests are its first trees and are scored on the way, and every
+    contamination is a percentile of the same scores.
     """
     grid = grid or forest_grid()
     sizes: dict = {}
@@ -51,24 +51,26 @@ def tune_forest(
         sizes[c.max_samples] = max(sizes.get(c.max_samples, 0), c.n_estimators)
     largest = [replace(grid[0], max_samples=s, n_estimators=n) for s, n in sizes.items()]
     nodes, rows = grow_forests(train, V.FEATURES, largest, key_cols)
-    grown = dict(zip(sizes, collect_forests(nodes, V.FEATURES, largest, rows)))
+    grown = dict(zip(sizes, stored_forests(nodes, V.FEATURES, largest, rows)))
     metrics, forests = None, {}
-    for samples, count in dict.fromkeys((c.max_samples, c.n_estimators) for c in grid):
-        same = [(i, c) for i, c in enumerate(grid) if (c.max_samples, c.n_estimators) == (samples, count)]
-        forest = tree_prefix(grown[samples], same[0][1])
-        trained = cut_lineage(anomaly_score(train, forest, "_s").select("_s"))
-        cuts = exact_percentiles(trained, "_s", [100.0 * c.contamination for _, c in same])
+    for samples, forest in grown.items():
+        same = [(i, c) for i, c in enumerate(grid) if c.max_samples == samples]
+        counts = sorted({c.n_estimators for _, c in same})
+        trained = cut_lineage(anomaly_scores(train.select(*V.FEATURES), forest, counts, "_s").select(*[F.col("_s")[k].alias(f"s{k}") for k in range(len(counts))]))
+        wanted = {f"s{k}": sorted({100.0 * c.contamination for _, c in same if c.n_estimators == n}) for k, n in enumerate(counts)}
+        cuts = {name: dict(zip(wanted[name], values)) for name, values in column_percentiles(trained, wanted).items()}
+        of = {i: counts.index(c.n_estimators) for i, c in same}
         options = F.array(
-            *[F.struct(F.lit(i).alias("candidate"), F.lit(cut).alias("offset")) for (i, _), cut in zip(same, cuts)]
+            *[F.struct(F.lit(i).alias("candidate"), F.lit(of[i]).alias("trees"), F.lit(cuts[f"s{of[i]}"][100.0 * c.contamination]).alias("offset")) for i, c in same]
         )
         judged = (
-            anomaly_score(validation, forest, "_s")
+            anomaly_scores(validation.select(target, *V.FEATURES), forest, counts, "_s")
             .select(target, "_s", F.inline(options))
-            .withColumn("pred", (F.col("_s") < F.col("offset")).cast("int"))
+            .withColumn("pred", (F.get("_s", F.col("trees")) < F.col("offset")).cast("int"))
         )
         part = binary_metrics(judged, target, "pred", ["candidate"])
         metrics = part if metrics is None else metrics.unionByName(part)
-        forests.update({i: replace(forest, config=c) for i, c in same})
+        forests.update({i: tree_prefix(forest, c) for i, c in same})
     metrics = cut_lineage(metrics)
     best = best_candidate(metrics, "candidate").first()
     return calibrate(train, forests[best.candidate]), metrics

@@ -13,6 +13,7 @@ from flowguard.operators.history import export_rows
 from flowguard.session import cut_lineage
 
 ANALYSIS_BUCKETS = 64
+MODEL_VERSION = 2
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
@@ -106,24 +107,18 @@ def read_analyses(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def save_model(spark: SparkSession, model, path: str, model_id: str) -> None:
-    """Node table and one row of parameters per model."""
-    forest, rec = model.forest, model.reconstruction
-    place = f"{path}/model_id={model_id}"
-    rows = []
-    matrices = forest.nodes
-    for tree in range(matrices["feature"].shape[0]):
-        for node in range(matrices["feature"].shape[1]):
-            rows.append((tree, node, *[matrices[n][tree, node].item() for n in ("feature", "threshold", "left_id", "right_id", "path")]))
-    spark.createDataFrame(
-        rows, "tree_id int, node_id int, feature int, threshold double, left_id int, right_id int, path double"
-    ).write.mode("overwrite").parquet(f"{place}/nodes")
+    """Node table and one row of parameters per model; a model saved again replaces itself."""
     import json
 
+    forest, rec = model.forest, model.reconstruction
+    place = f"{path}/model_id={model_id}"
+    forest.nodes.write.mode("overwrite").parquet(f"{place}/nodes")
     payload = {
+        "version": MODEL_VERSION,
         "created_at": datetime.now(timezone.utc).isoformat(),
         "forest": {
             "config": asdict(forest.config), "features": list(forest.features), "rows_per_tree": forest.rows_per_tree,
-            "offset": forest.offset, "stats": asdict(forest.stats) if forest.stats else None,
+            "nodes": forest.size(), "offset": forest.offset, "stats": asdict(forest.stats) if forest.stats else None,
         },
         "reconstruction": {
             "scaler": asdict(rec.scaler), "components": [list(r) for r in rec.components],
@@ -137,11 +132,11 @@ def save_model(spark: SparkSession, model, path: str, model_id: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str, model_id: str):
-    """Read a stored model back."""
+    """Read a stored model back; its nodes stay a table, and its manifest must fit them."""
     import json
 
     from flowguard.config import EnsembleConfig
-    from flowguard.operators.forest import Forest, ForestConfig, _pack
+    from flowguard.operators.forest import NODES, Forest, ForestConfig
     from flowguard.operators.reconstruction import Reconstruction
     from flowguard.operators.scaling import Scaler
     from flowguard.operators.scores import ScoreStats
@@ -149,12 +144,16 @@ def load_model(spark: SparkSession, path: str, model_id: str):
 
     place = f"{path}/model_id={model_id}"
     payload = json.loads(spark.read.json(f"{place}/manifest").first().manifest)
+    if payload.get("version") != MODEL_VERSION:
+        raise ValueError(f"model {model_id} has version {payload.get('version')}, not {MODEL_VERSION}")
     f, r = payload["forest"], payload["reconstruction"]
     stats = lambda s: ScoreStats(**s) if s else None
     forest = Forest(
         ForestConfig(**f["config"]), tuple(f["features"]), f["rows_per_tree"],
-        _pack(spark.read.parquet(f"{place}/nodes").toPandas()), f["offset"], stats(f["stats"]),
+        spark.read.schema(NODES).parquet(f"{place}/nodes"), f["offset"], stats(f["stats"]),
     )
+    if forest.size() != f["nodes"]:
+        raise ValueError(f"model {model_id} has {forest.size()} of {f['nodes']} nodes")
     scaler = Scaler(r["scaler"]["kind"], *[tuple(r["scaler"][n]) for n in ("columns", "centers", "scales")])
     rec = Reconstruction(scaler, tuple(tuple(x) for x in r["components"]), r["threshold"], stats(r["stats"]))
     return ScoringModel(forest, rec, EnsembleConfig(**payload["ensemble"]))

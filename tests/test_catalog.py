@@ -9,8 +9,6 @@ from oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-# Jobs that fit models take longer; they are covered by their own tests.
-SLOW = {"recon_error", "window_reports", "inference_report_counts", "inference_report_numbers", "trained_metrics"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the generated tables")
 
@@ -25,7 +23,7 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, FOLDER, QUERIES[name], ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
