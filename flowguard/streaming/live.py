@@ -1,8 +1,8 @@
 """The same transformations over a stream of lines.
 
-Late rule: rows behind the watermark are dropped. A window is emitted once, when the
-watermark passes its end, so a window id never appears twice; a larger ``delay``
-trades latency for lateness. A finite replay uses the batch plan instead.
+Late rule of this path: rows behind the watermark are dropped. A window is emitted once,
+when the watermark passes its end, so a window id never appears twice; a larger ``delay``
+trades latency for lateness. ``streaming.store`` keeps counts instead and loses nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from flowguard.operators.windows import finish_windows, fold_values, value_count
 from flowguard.plans.batch import ScoringModel, score_windows
 from flowguard.sources.logs import read_lines, stream_lines
 from flowguard.sources.sinks import insert_new_windows
+from flowguard.session import cut_lineage
 
 
 def streaming_windows(
@@ -64,11 +65,11 @@ def write_batch(
     """Score the closed windows of a micro-batch and insert those not stored.
 
     The checkpoint advances after this returns; a repeated batch inserts nothing new and
-    replaces its own report folder.
+    replaces its own report folder. The batch is computed once, into reliable storage.
     """
 
     def write(windows: DataFrame, batch_id: int) -> None:
-        scored = score_windows(windows, model, profile=profile)
+        scored = cut_lineage(score_windows(windows, model, profile=profile))
         insert_new_windows(live_records(scored, source_path=source_path, execution_id=f"batch-{batch_id}"), target)
         if reports:
             row_reports(scored).write.mode("overwrite").json(f"{reports}/batch={batch_id}")
