@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ from flowguard.functions.display import label
 from flowguard.operators import history as H
 from flowguard.operators.distributions import chart_rows, distributions, pair_distribution
 from flowguard.operators.reports import scenario_summary
+from flowguard.operators.pages import ordering, read_page, seek_page, write_ranges
+from flowguard.operators.search import find_rows, write_index
 from flowguard.operators.single import attach_row
+from flowguard.session import cut_lineage, ensure_checkpoint_dir
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,6 +106,58 @@ def hist_search_features(spark, folder):
     return H.search(H.compact_windows(stored(spark, folder)), " 39 0.39").select("id")
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def search_windows(spark, folder):
+    """F17 by trigrams over the windows."""
+    rows, path = H.compact_windows(stored(spark, folder)), _place(spark, "search")
+    write_index(rows, path, "id", H.WINDOW_SEARCH)
+    return find_rows(rows, path, "id", "ÊXEC-7 ").select("id", "execution_id")
+
+
+def search_executions(spark, folder):
+    """F17 by trigrams over the executions."""
+    rows, path = H.executions(stored(spark, folder)), _place(spark, "search")
+    rows = cut_lineage(rows)
+    write_index(rows, path, "execution_id", H.EXECUTION_SEARCH)
+    return find_rows(rows, path, "execution_id", "xec-4").select("execution_id", "total_windows")
+
+
+def search_analyses(spark, folder):
+    """F17 by trigrams over the analyses, with a query that needs its last letter checked."""
+    rows = tables.table(spark, folder, "orders").select(F.col("o_orderkey").alias("analysis_id"), F.concat(F.lit("Arquivo-"), F.col("o_orderkey").cast("string"), F.lit(".log")).alias("filename"), F.col("o_orderpriority").alias("predominant_attack_type"))
+    path = _place(spark, "search")
+    write_index(rows, path, "analysis_id", H.ANALYSIS_SEARCH)
+    return find_rows(rows, path, "analysis_id", "árquivo-11").select("analysis_id", "filename")
+
+
+def page_by_seek(spark, folder):
+    """The page after a given row."""
+    rows = stored(spark, folder).withColumn("t", H.history_time())
+    last = rows.orderBy(*ordering(["t", "id"])).offset(64).limit(1).select("t", "id").first()
+    return seek_page(rows, ["t", "id"], tuple(last), 40).select(*_SCALARS)
+
+
+def page_by_number(spark, folder):
+    """A late page from stored ranges."""
+    path = _place(spark, "pages")
+    write_ranges(stored(spark, folder).withColumn("t", H.history_time()), path, ["t", "id"])
+    return read_page(spark, path, ["t", "id"], 50, 850).select(*_SCALARS)
+
+
+def page_of_analyses(spark, folder):
+    """Analyses by creation."""
+    return seek_page(analyses(spark, folder), ["created_at", "analysis_id"], None, 500).select("analysis_id", "created_at")
+
+
+def first_results(spark, folder):
+    """The first ten results of a scored run, in window order."""
+    rows = stored(spark, folder)
+    return rows.orderBy("window_start", "id").limit(10).select("id", "window_id", "final_label")
+
+
 def hist_compact(spark, folder):
     return H.compact_windows(stored(spark, folder)).select(
         "id", "decision_reason", "src_ip", "dst_ip", "dst_port", "protocol", "action", "ai_support",
@@ -267,7 +324,7 @@ QUERIES = {
         hist_search, hist_search_features, hist_compact, hist_executions, hist_summary, entity_totals, dashboard,
         timeline, analyses_join, analysis_results, new_windows, top_distribution, label_distributions, chart_items,
         export_rows, display_labels, window_durations, window_uids, classification, summary_counts, result_columns,
-        module_status, scenarios,
+        module_status, scenarios, search_windows, search_executions, search_analyses, page_by_seek, page_by_number, page_of_analyses, first_results,
     )
 }
 
@@ -313,6 +370,13 @@ ORACLES = {
     "hist_text_filter": f"""{_H} SELECT id, src_ip, protocol FROM s WHERE final_label = 'anomaly' AND contains(src_ip, '0.0.2')
  AND protocol = 'tcp' AND created_at >= TIMESTAMP '2024-01-02' AND created_at <= TIMESTAMP '2024-01-28 12:00:00'""",
     "hist_search": f"{_H} SELECT id, execution_id FROM s WHERE execution_id LIKE '%exec-7'",
+    "search_windows": f"{_H} SELECT id, execution_id FROM s WHERE execution_id LIKE '%exec-7'",
+    "search_executions": f"{_H} SELECT execution_id, count(*) AS total_windows FROM s WHERE execution_id LIKE '%xec-4%' GROUP BY 1",
+    "search_analyses": "SELECT o_orderkey AS analysis_id, concat('Arquivo-', o_orderkey, '.log') AS filename FROM orders WHERE CAST(o_orderkey AS VARCHAR) LIKE '11%'",
+    "page_by_seek": f"{_H} SELECT {_COLS} FROM s ORDER BY t DESC, id DESC LIMIT 40 OFFSET 65",
+    "page_by_number": f"{_H} SELECT {_COLS} FROM s ORDER BY t DESC, id DESC LIMIT 50 OFFSET 850",
+    "page_of_analyses": "SELECT o_orderkey AS analysis_id, o_orderdate AS created_at FROM orders ORDER BY created_at DESC, analysis_id DESC LIMIT 500",
+    "first_results": f"{_H} SELECT id, concat('w-', id) AS window_id, final_label FROM s ORDER BY created_at, id LIMIT 10",
     "hist_search_features": f"{_H} SELECT id FROM s WHERE id % 40 = 39 AND if_norm = CAST(0.39 AS DOUBLE)",
     "hist_compact": f"""{_H} SELECT id, concat('why ', final_label) AS decision_reason, src_ip, concat('192.168.1.', id % 5) AS dst_ip, '22,80' AS dst_port,
  protocol, 'block' AS action, ai AS ai_support, ensemble_score AS ensemble FROM s""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +34,36 @@ def label(value: Column, kind: str) -> Column:
     return F.coalesce(F.try_element_at(known, key), title_words(value))
 
 
+def _folding() -> dict[str, str]:
+    """Letters whose canonical decomposition starts with another letter, by rule, and that letter."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]):
+            pairs[chr(code)] = parts[0]
+    return pairs
+
+
+ACCENTED = _folding()
+MARKS = "".join(chr(c) for c in range(0x300, 0x370))
+
+
+def fold(text: str) -> str:
+    """Text without accents and case."""
+    return text.translate(str.maketrans({**ACCENTED, **dict.fromkeys(MARKS, "")})).lower()
+
+
+def folded(value: Column) -> Column:
+    """The same for a column; texts of plain letters are only lowered."""
+    plain = F.translate(value, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))
+    return F.lower(F.when(F.octet_length(value) == F.char_length(value), value).otherwise(plain))
+
+
 def contains_text(value: Column, query: str) -> Column:
     """F16: accent- and case-insensitive contains; an empty query matches all."""
     if not query.strip():
         return F.lit(True)
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    return F.contains(F.collate(text, "UNICODE_CI_AI"), F.collate(F.lit(query), "UNICODE_CI_AI"))
+    return F.contains(folded(F.coalesce(value.cast("string"), F.lit(""))), F.lit(fold(query)))
 
 
 def plain_text(value: Column, kind: T.DataType) -> list[Column]:

@@ -116,6 +116,15 @@ def pin(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def with_pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a derived column that filters do not look through.
+
+    The value comes out of a one-row generator, so a filter on it stays above and the
+    derivation runs once, while filters on other columns still reach the scan.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def _hex_tail(text: Column) -> Column:
     """IPv6 text whose dotted tail, if valid, became two hexadecimal groups."""
     pattern = r"^(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowguard import vocabulary as V
-from flowguard.functions.scalar import canonical_ip, cell, csv_cells, integer, pin, port, strip_if
+from flowguard.functions.scalar import canonical_ip, cell, csv_cells, integer, port, strip_if
 
 _SEP = "\uffff"
 
@@ -44,11 +44,13 @@ def split_header(df: DataFrame, line_col: str) -> DataFrame:
     def part(i: int) -> Column:
         return F.when(matched, strip_if(F.get("_parts", F.lit(i)), _unusual()))
 
-    return (
+    df = (
         df.withColumn("_text", F.make_valid_utf8(line_col))
         .withColumn("_unusual", F.col("_text").rlike(V.UNUSUAL_SPACE_PATTERN))
         .withColumn("_line", strip_if(F.col("_text"), _unusual()))
-        .withColumn("_parts", pin(parts))
+    )
+    return (
+        df.withColumn("_parts", parts)
         .withColumns(
             {
                 "is_syslog": matched,
@@ -80,11 +82,11 @@ def _route(df: DataFrame) -> DataFrame:
         "_candidate",
         F.when(F.col("_prefixed"), strip_if(F.regexp_extract(body, V.PREFIX_PATTERN, 1), _unusual())).otherwise(body),
     )
-    df = df.withColumn("_fields", pin(csv_cells(F.col("_candidate"), _unusual())))
+    df = df.withColumn("_fields", csv_cells(F.col("_candidate"), _unusual()))
     # A prefixed message is also judged as a whole, prefix included.
     whole = F.when(F.col("_prefixed"), csv_cells(body, _unusual())).otherwise(F.col("_fields"))
-    df = df.withColumn("_whole", pin(whole))
-    df = df.withColumn("_like", pin(_looks_like_payload(body, F.col("_whole"))))
+    df = df.withColumn("_whole", whole)
+    df = df.withColumn("_like", _looks_like_payload(body, F.col("_whole")))
     message = F.lower("syslog_message")
     filterlog_line = F.when(
         F.col("is_syslog"),
@@ -97,7 +99,7 @@ def _route(df: DataFrame) -> DataFrame:
     payload = F.when(
         F.col("is_filterlog") & (F.col("_prefixed") | F.col("_like")), F.nullif("_candidate", F.lit(""))
     )
-    return df.withColumns(
+    df = df.withColumns(
         {
             "csv_payload": payload,
             "log_type": F.when(F.col("_line") == "", None)
@@ -105,9 +107,8 @@ def _route(df: DataFrame) -> DataFrame:
             .when(F.col("is_syslog"), "syslog_other")
             .otherwise("unknown"),
         }
-    ).withColumn(
-        "_readable", pin(F.col("csv_payload").isNotNull() & (F.size("_fields") >= 9))
     )
+    return df.withColumn("_readable", F.col("csv_payload").isNotNull() & (F.size("_fields") >= 9))
 
 
 def _fields(df: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def _finalise(df: DataFrame) -> DataFrame:
             *[F.when(ported & F.col(n).isNull(), n) for n in ("source_port", "destination_port")],
         )
     )
-    df = df.withColumn("_gaps", pin(F.when(known_family, gaps)))
+    df = df.withColumn("_gaps", F.when(known_family, gaps))
     full = known_family & (F.size("_gaps") == 0)
     error = (
         F.when(F.col("_line") == "", V.PARSE_ERRORS["blank"])
@@ -241,9 +242,12 @@ def parse_filterlog(
     df = split_header(df, line_col)
     if skip_blank:
         df = df.where(F.col("_line") != "")
-    df = df.withColumn("timestamp", pin(event_time(F.col("timestamp_text"), default_year)))
+    df = df.withColumn("timestamp", event_time(F.col("timestamp_text"), default_year))
     df = _finalise(_fields(_route(df)))
-    return df.select(*EVENT_COLUMNS, "timestamp_text", *keep)
+    # One row per line out of a generator: filters on parsed columns stay above the parse and
+    # those on kept columns pass below it, down to the partitions of the scan.
+    parsed = F.struct(*EVENT_COLUMNS, "timestamp_text")
+    return df.select(*keep, F.inline(F.array(parsed))).select(*EVENT_COLUMNS, "timestamp_text", *keep)
 
 
 def parse_stats(events: DataFrame) -> DataFrame:
