@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from flowguard import vocabulary as V
 from flowguard.catalog import tables
 from flowguard.catalog.history import analyses, results, stored
+from flowguard.catalog.tables import HIST
 from flowguard.operators.history import compact_windows
+from flowguard.operators.single import attach_row
 from flowguard.session import ensure_checkpoint_dir
 from flowguard.sources import datasets, sinks
 from flowguard.sources.logs import read_lines
@@ -90,7 +92,56 @@ def export_csv(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(*[F.col(f"`{header[n]}`").alias(n) for n in ("window_id", "execution_id", "dst_ip", "dst_port", "action")])
 
 
-QUERIES = {f.__name__: f for f in (source_lines, csv_flows, insert_twice, replaced_analyses, export_csv)}
+def _training(spark: SparkSession, folder: str) -> str:
+    """A training file: base features by name, a label of words, blanks in the header."""
+    place = _place(spark, "training")
+    kind = F.col("event_type")
+    rows = tables.table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias(" connections"), F.floor("value").cast("string").alias("bytes"), F.lit("2").alias("packets"),
+        F.when(F.col("event_id") % 6 == 0, "NaN").otherwise((F.col("event_id") % 5).cast("string")).alias("packet_size"),
+        (F.col("event_id") % 9).cast("string").alias("ports"), F.when(kind == "view", "BENIGN").otherwise("DoS").alias("label"),
+    )
+    rows.write.csv(place, header=True, ignoreLeadingWhiteSpace=False)
+    return place
+
+
+def csv_training(spark: SparkSession, folder: str) -> DataFrame:
+    """Features and labels of a training file."""
+    return datasets.load_training(spark, _training(spark, folder)).select(
+        F.col("connections").cast("long").alias("event_id"), "bytes", "packet_size", "bytes_per_packet", F.round("log1p_bytes", 6).alias("log1p_bytes"), "y"
+    )
+
+
+def csv_inference(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the same file without its labels."""
+    rows = datasets.load_inference(spark, _training(spark, folder))
+    return rows.select(F.col("connections").cast("long").alias("event_id"), "ports", "packets_per_connection", F.round("log1p_ports", 6).alias("log1p_ports"))
+
+
+def written_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Columnar copy by day and CSV copy, nested values as JSON, read back and joined."""
+    columns, text = _place(spark, "table"), _place(spark, "csv")
+    rows = tables.hist(spark, folder).select("id", F.to_date("created_at").alias("day"), F.struct("risk_level", "if_pred").alias("nested"))
+    sinks.write_table(rows, columns, partition_by=["day"])
+    sinks.write_csv(rows, text)
+    copy = spark.read.csv(text, header=True).select(F.col("id").cast("long").alias("id"), F.get_json_object("nested", "$.risk_level").alias("risk_level"))
+    return spark.read.parquet(columns).select("id", F.col("day").cast("string").alias("day"), F.col("nested.if_pred").alias("if_pred")).join(copy, "id")
+
+
+def written_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """A report of few rows and a summary as JSON, read back."""
+    report, summary = _place(spark, "report"), _place(spark, "summary")
+    rows = tables.hist(spark, folder)
+    sinks.write_report(rows.groupBy("risk_level").agg(F.count("*").alias("n"), F.max("id").alias("last")), report)
+    sinks.export_summary(rows.agg(F.count("*").alias("total")), summary)
+    total = spark.read.json(summary).select(F.col("total").alias("total"))
+    return attach_row(spark.read.json(report).select("risk_level", "n", "last"), total)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (source_lines, csv_flows, insert_twice, replaced_analyses, export_csv, csv_training, csv_inference, written_tables, written_reports)
+}
 
 _UID = """WITH r AS (SELECT event_id, CAST(ts AS DATE) AS day,
  CASE WHEN event_id % 100 <> 0 THEN concat(strftime(ts, '%Y-%m-%d'), '-', event_id % 50) END AS uid FROM events),
@@ -109,6 +160,12 @@ ORACLES = {
  WHERE l_orderkey % 3 <> 0 OR l_linenumber < l_orderkey % 4 GROUP BY 1)
 SELECT o_orderkey AS analysis_id, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE o_orderstatus END AS final_status,
  coalesce(n, 0) AS n_results, CAST(w AS BIGINT) AS windows FROM orders LEFT JOIN l ON k = o_orderkey""",
+    "csv_training": """WITH r AS (SELECT event_id, CAST(floor(value) AS DOUBLE) AS bytes, CASE WHEN event_id % 6 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(event_id % 5 AS DOUBLE) END AS packet_size, event_type FROM events)
+SELECT event_id, bytes, packet_size, bytes / 2 AS bytes_per_packet, round(ln(1 + bytes), 6) AS log1p_bytes, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS y FROM r""",
+    "csv_inference": """SELECT event_id, CAST(event_id % 9 AS DOUBLE) AS ports, CASE WHEN event_id = 0 THEN CAST(0 AS DOUBLE) ELSE 2 / event_id END AS packets_per_connection,
+ round(ln(1 + event_id % 9), 6) AS log1p_ports FROM events""",
+    "written_tables": f"""SELECT id, strftime(created_at, '%Y-%m-%d') AS day, if_pred, risk_level FROM ({HIST})""",
+    "written_reports": f"SELECT risk_level, count(*) AS n, max(id) AS last, (SELECT count(*) FROM events) AS total FROM ({HIST}) GROUP BY 1",
     "export_csv": """SELECT concat('w-', event_id) AS window_id, concat('exec-', event_id % 50) AS execution_id,
  concat('192.168.1.', event_id % 5) AS dst_ip, '22,80' AS dst_port, 'block' AS action FROM events""",
 }

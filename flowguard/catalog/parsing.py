@@ -141,12 +141,24 @@ def events_prepared(spark, folder):
     return prepare_events(parsed(spark, folder), keep=("event_id",))
 
 
+
+def parse_variants(spark, folder):
+    """The payload behind a prefix inside another message, and quoted fields with commas in them."""
+    rows = lines(spark, folder)
+    kind = F.col("event_id") % 3
+    inside = F.regexp_replace("value", r" filterlog\[(\d+)\]: ", " relay[7]: filterlog[$1]: ")
+    quoted = F.regexp_replace("value", ",match,", ',"ma,tch",')
+    text = F.when(kind == 0, inside).when(kind == 1, quoted).otherwise(F.col("value"))
+    parsed = parse_filterlog(rows.select("event_id", text.alias("value")).where("value IS NOT NULL"), default_year=2024, line_number_col="event_id")
+    return parsed.select(F.col("line_number").alias("event_id"), "process", "is_filterlog", "interface", "reason", "action", "source_ip", F.col("length").alias("size"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         parse_header, parse_ipv4, parse_ipv6, parse_ipv6_text, parse_ports, parse_flags, parse_icmp, parse_status,
         parse_totals, parse_status_counts, parse_diagnostics, kv_features, events_eligible, events_normalised,
-        events_prepared,
+        events_prepared, parse_variants,
     )
 }
 
@@ -171,6 +183,8 @@ s AS (
  FROM m)
 """
 ORACLES = {
+    "parse_variants": f"""{_FW} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'relay[7]' ELSE concat('filterlog[', event_id, ']') END AS process, true AS is_filterlog,
+ interface, CASE WHEN event_id % 3 = 1 THEN 'ma,tch' ELSE 'match' END AS reason, action, source_ip, CAST(bytes AS BIGINT) AS size FROM fw""",
     "parse_header": f"""{_FW} SELECT event_id, date_trunc('second', timestamp) AS timestamp, 'fw01' AS hostname,
  concat('filterlog[', event_id, ']') AS process, 'firewall' AS log_type, true AS is_syslog, true AS is_filterlog FROM fw""",
     "parse_ipv4": f"""{_FW} SELECT event_id, '5' AS rule, CAST(NULL AS VARCHAR) AS subrule, '1000000103' AS tracker,

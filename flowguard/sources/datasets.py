@@ -17,11 +17,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_training(spark: SparkSession, path: str, extended: bool = True) -> DataFrame:
-    """Features, integer label ``y`` and a repeatable ``row_id``."""
+    """Features, integer label ``y`` and ``row_id``, a hash of the row that no file layout changes."""
     raw = read_features(spark, path)
     if not any(n in raw.columns for n in V.LABEL_COLUMNS):
         raise ValueError("training data needs a label column")
-    labelled = extract_label(_typed_label(raw)).withColumn("row_id", F.monotonically_increasing_id())
+    numbered = raw.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]))
+    labelled = extract_label(_typed_label(numbered))
     features = with_features(resolve_base_features(labelled), extended)
     names = V.FEATURES if extended else V.BASE_FEATURES
     return features.select("row_id", *names, "y")
