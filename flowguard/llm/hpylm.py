@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of
 from flowguard.operators.single import attach_row
 
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 12 << 20
 LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
@@ -52,7 +52,7 @@ WORD, CONTEXT, TOTALS = 0, 1, 2
 
 PAIRS = "bucket int, block long, doc_ids array<long>, contexts array<long>, spans array<int>, words array<long>, times array<int>, trained array<int>, rows array<short>"
 COUNTS = "bucket int, kind int, key long, customers long, tables double"
-PARTS = "bucket int, block long, doc_ids array<long>, rows array<short>, n_tokens array<int>, n_known array<int>, base_score array<double>, score array<double>, train_tokens long"
+PARTS = "bucket int, block long, doc_ids array<long>, rows array<short>, n_tokens array<int>, n_known array<int>, base_score array<double>, score array<float>, train_tokens long"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -233,6 +233,15 @@ def sweep_seats(customers: np.ndarray, room: np.ndarray, weight: np.ndarray, dis
     return tables, seats
 
 
+def word_cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(20)).astype(np.int64) & (cells - 1)
+
+
+def is_hot(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each word is dealt out by its pairs; ``hot`` is a mask of cells."""
+    return hot[word_cells(hashes, len(hot))]
+
+
 class WordCodes(dict):
     """Small numbers of the words met by a task, and their hashes; forgotten between blocks when many."""
 
@@ -314,7 +323,7 @@ def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: n
     before, after = stream[:-1], stream[1:].copy()
     after[np.cumsum(sizes) - 1] = 1
     bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)[before]
-    spread = np.flatnonzero(np.isin(hashes, hot)[before])
+    spread = np.flatnonzero(is_hot(hashes, hot)[before])
     with np.errstate(over="ignore"):
         bucket[spread] = mix(hashes[before[spread]] * _PRIME + hashes[after[spread]]) % np.uint64(buckets)
     key = bucket
@@ -365,36 +374,31 @@ def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Hashes of the words that hold more than a quarter of a bucket's mean share.
+    """Which cells of word hashes hold more than a quarter of a bucket's mean share, as a mask.
 
-    Fewer than ``8 * buckets`` by construction. They only steer how work is dealt. A word
-    with twice the share overall has the share in some batch, and the batches where it has
-    hold half of it; what passes that is counted again over all rows, so that the choice
-    does not depend on how rows are partitioned.
+    Words fall into ``64 * buckets`` cells or somewhat more, so a heavy cell is one of a
+    frequent word, and there are fewer than ``4 * buckets``. They only steer how work is dealt.
+    The counts are those of all rows and do not depend on how these are partitioned.
     """
-    share = 1 / (8 * buckets)
-
-    def counted(wanted: np.ndarray | None) -> dict[int, int]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers = WordCodes()
-            for batch in batches:
-                texts, words = numbers.block(text.as_py() for text in batch.column(0))
-                counts = np.bincount(np.concatenate(texts), minlength=len(words)) if texts else np.zeros(len(words), np.int64)
-                counts[0] = len(texts)
-                total = counts.sum()
-                held = counts > share * total if wanted is None else np.isin(words, wanted) & (counts > 0)
-                words, counts = np.append(words[held], np.uint64(0)), np.append(counts[held], total)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
-
-        counts = docs.select(text_bytes().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(8 * buckets + 1).collect()}
+    cells, share = 1 << int(np.ceil(np.log2(64 * buckets))), 1 / (8 * buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, total = WordCodes(), np.zeros(cells, np.int64)
+        for batch in batches:
+            texts, words = numbers.block(text.as_py() for text in batch.column(0))
+            counts = np.bincount(np.concatenate(texts), minlength=len(words)) if texts else np.zeros(len(words), np.int64)
+            counts[0] = len(texts)
+            total += np.bincount(word_cells(words, cells), weights=counts, minlength=cells).astype(np.int64)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["cell", "n"])
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
-    found = counted(None)
-    total = found.pop(0, 0)
-    near = np.array([w for w, n in found.items() if n >= share * total], np.int64).view(np.uint64)
-    exact = counted(near) if len(near) else {}
-    return np.array(sorted(w for w, n in exact.items() if w != 0 and n > 2 * share * total), np.int64).view(np.uint64)
+    counts = docs.select(text_bytes().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    whole = counts.agg(F.sum("n").alias("whole"))
+    heavy = attach_row(counts, whole).where(F.col("n") > 2 * share * F.col("whole")).select("cell").collect()
+    mask = np.zeros(cells, bool)
+    mask[[r.cell for r in heavy]] = True
+    return mask
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -415,7 +419,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         bucket = Bucket(rows)
         per_word = np.bincount(bucket.word, weights=bucket.customers, minlength=len(bucket.words))
         tables, per_context = bucket.seat((per_word + 1) / (per_word.sum() + len(per_word) + 1), BURN_IN + 1, 1, None, key[0].as_py())
-        spread = np.flatnonzero(np.isin(bucket.contexts, hot))
+        spread = np.flatnonzero(is_hot(bucket.contexts, hot))
         customers = np.bincount(bucket.context, weights=bucket.customers, minlength=len(bucket.contexts))
         word_tables = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words))
         kind = np.concatenate([np.full(len(per_word), WORD), np.full(len(spread), CONTEXT), [TOTALS]])
@@ -464,7 +468,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         word_count, chance = customers[kind == WORD][at], value[kind == WORD][at]
         own = np.bincount(bucket.context, weights=bucket.customers, minlength=len(bucket.contexts))
         away, total = np.zeros(len(own)), own.copy()
-        spread = np.flatnonzero(np.isin(bucket.contexts, hot))
+        spread = np.flatnonzero(is_hot(bucket.contexts, hot))
         if len(spread):
             at = of(CONTEXT, bucket.contexts[spread])
             total[spread] = customers[kind == CONTEXT][at]
@@ -480,7 +484,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         whole = lambda parts: pa.array([np.rint(x).astype(np.int32) for x in parts], pa.list_(pa.int32()))
         return pa.table({
             "bucket": rows.column("bucket"), "block": rows.column("block"), "doc_ids": rows.column("doc_ids"), "rows": pa.array(held, pa.list_(pa.int16())), "n_tokens": whole(n_tokens), "n_known": whole(n_known),
-            "base_score": pa.array(base_score, pa.list_(pa.float64())), "score": pa.array(scores, pa.list_(pa.float64())), "train_tokens": np.full(rows.num_rows, n),
+            "base_score": pa.array(base_score, pa.list_(pa.float64())), "score": pa.array([x.astype(np.float32) for x in scores], pa.list_(pa.float32())), "train_tokens": np.full(rows.num_rows, n),
         })
 
     def merge(rows: pa.Table) -> pa.Table:

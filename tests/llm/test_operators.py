@@ -300,7 +300,9 @@ def test_cut_is_minimal_and_pages_are_cleaned(spark):
 def test_encoded_blocks_hold_every_word_pair(monkeypatch):
     monkeypatch.setattr(hpylm, "CACHE_WORDS", 5)
     numbers, texts = hpylm.WordCodes(), [t.encode() for _, t in sample_texts()[:20]] + [b"", b"A a\tB"]
-    hot = np.array([hpylm.START, xxhash.xxh64_intdigest(b"w1")], np.uint64)
+    hot = np.zeros(1 << 20, bool)
+    warm = np.array([hpylm.START, xxhash.xxh64_intdigest(b"w1")], np.uint64)
+    hot[hpylm.word_cells(warm, 1 << 20)] = True
     for part in (texts[:9], texts[9:], [b""]):
         batch = pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int64()), pa.array(part, pa.binary())], ["doc_id", "text"])
         got, homes = Counter(), {}
@@ -308,7 +310,7 @@ def test_encoded_blocks_hold_every_word_pair(monkeypatch):
             pairs = zip(np.repeat(np.repeat(contexts, spans), times).tolist(), np.repeat(words, times).tolist(), rows.tolist())
             for c, w, r in pairs:
                 got[c, w, r] += 1
-                if c not in hot.tolist():
+                if c not in warm.tolist():
                     assert homes.setdefault(c, b) == b
         want = Counter()
         for r, text in enumerate(part):
@@ -346,7 +348,7 @@ def test_table_draws_follow_the_stirling_numbers():
 def test_ids_of_a_block_travel_once(spark, monkeypatch):
     monkeypatch.setattr(hpylm, "BLOCK_BYTES", 2000)
     rows = [(i, f"w{i % 7} w{i % 11} " + " ".join(WORDS[:40])) for i in range(300)]
-    cells = hpylm.word_pairs(docs_of(spark, rows).coalesce(1), 16, np.zeros(0, np.uint64)).collect()
+    cells = hpylm.word_pairs(docs_of(spark, rows).coalesce(1), 16, np.zeros(1024, bool)).collect()
     blocks, carried = {c.block for c in cells}, [c for c in cells if c.doc_ids is not None]
     assert len(blocks) > 10 and len(cells) > 5 * len(blocks)
     assert sorted(c.block for c in carried) == sorted(blocks) and len({c.bucket for c in carried}) > 3
