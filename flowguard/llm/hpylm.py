@@ -390,14 +390,15 @@ def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
             counts[0] = len(texts)
             total += np.bincount(word_cells(words, cells), weights=counts, minlength=cells).astype(np.int64)
         held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["cell", "n"])
+        cell, n = np.append(held, -1).astype(np.int32), np.append(total[held], total.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
     bounded_batches(docs.sparkSession, BLOCK_ROWS, "16m")
     counts = docs.select(text_bytes().alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    whole = counts.agg(F.sum("n").alias("whole"))
-    heavy = attach_row(counts, whole).where(F.col("n") > 2 * share * F.col("whole")).select("cell").collect()
+    rows = {r.cell: r.n for r in counts.orderBy(F.desc("n"), "cell").limit(4 * buckets + 1).collect()}
+    whole = rows.pop(-1, 0)
     mask = np.zeros(cells, bool)
-    mask[[r.cell for r in heavy]] = True
+    mask[[cell for cell, n in rows.items() if n > 2 * share * whole]] = True
     return mask
 
 
