@@ -2,7 +2,8 @@
 
 A page becomes a row of text blocks. A classifier gives each block a log-odds of being
 content; positive odds are the capacity from the source, negative ones the capacity to the
-sink. Neighbouring blocks and blocks under one parent are tied by smoothness edges. The
+sink. Neighbouring blocks, and each block and the last one under its nearest
+elements, are tied by smoothness edges that weaken with their distance in the tree. The
 maximum flow separates content from boilerplate at the least total cost.
 """
 
@@ -27,7 +28,9 @@ BLOCK_TAGS = frozenset(
     "title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe object svg math title".split())
+RAW_TAGS = frozenset("script style noscript template textarea iframe object svg title".split())
+#: These run to the end of the page where their end tag is missing.
+OPEN_ENDED = frozenset("script style textarea title".split())
 PARAGRAPH_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th option tr".split())
 CONTENT_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("nav footer header aside form button select option menu dialog head search fieldset".split())
@@ -40,6 +43,10 @@ OTHER_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article body content entry main maincontent post story text".split())
 
+# Words of a class or id that only say how something is laid out.
+HOLDERS = frozenset("area bar block blocks box container content group inner item items link links list outer panel row section slot title unit wrap wrapper".split())
+NEGATIONS = frozenset("has no is with without not hide".split())
+
 MARK = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME = re.compile(r"[A-Za-z]+")
@@ -47,8 +54,7 @@ NAME = re.compile(r"[A-Za-z]+")
 TAG_ODDS = 8.0
 NAME_ODDS = 6.0
 INSIDE_ODDS = 4.0
-NEXT_TIE = 0.6
-PARENT_TIE = 0.6
+NEAR_TIE = 1.8
 
 
 @dataclass
@@ -66,7 +72,7 @@ class Block:
     """A run of text between block-level marks."""
 
     parent: Element
-    group: int
+    above: tuple[int, ...]
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -74,27 +80,47 @@ class Block:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def _names(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names content, and whether it names something else.
+
+    Each token is judged as a whole: its name, its last word, or a first word that only
+    layout words follow. Tokens such as ``has-sidebar`` or ``no-comments`` say nothing.
+    """
+    content = other = False
+    for token in value.split():
+        words = [w.lower() for w in NAME.findall(token)]
+        if not words or words[0] in NEGATIONS:
+            continue
+        holds = all(w in HOLDERS for w in words[1:])
+        other |= words[-1] in OTHER_NAMES or words[0] in OTHER_NAMES and holds
+        content |= words[-1] in CONTENT_NAMES or words[0] in CONTENT_NAMES and holds
+    return content, other
+
+
 def _element(tag: str, attributes: str, parent: Element, number: int) -> Element:
     content, other = parent.content, parent.other
     if tag in CONTENT_TAGS:
         content = max(content, INSIDE_ODDS)
-    if tag in OTHER_TAGS:
-        other = max(other, TAG_ODDS)
+    if tag in OTHER_TAGS and not (tag == "header" and parent.content and not parent.other):
+        other = max(other, TAG_ODDS)  # the header inside an article holds its headline
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id") and tag not in ("body", "html"):
-                words = set(NAME.findall(value))
-                if words & OTHER_NAMES and not (tag in CONTENT_TAGS):
+                says_content, says_other = _names(value)
+                if says_other and tag not in CONTENT_TAGS:
                     other = max(other, NAME_ODDS)
-                elif words & CONTENT_NAMES:
+                elif says_content:
                     content = max(content, INSIDE_ODDS / 2)
             elif name == "role":
                 other = max(other, TAG_ODDS if value in OTHER_ROLES else 0.0)
                 content = max(content, INSIDE_ODDS if value in CONTENT_TAGS else 0.0)
             elif name == "style" and "display:none" in value.replace(" ", "") or name == "aria-hidden" and value == "true":
                 other = max(other, TAG_ODDS)
-        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
+        if re.search(r"(?:^|\s)hidden(?:\s|$|=|/)", QUOTED.sub('""', attributes)):
             other = max(other, TAG_ODDS)
     return Element(tag, number, content, other)
 
@@ -108,7 +134,7 @@ def page_blocks(page: str) -> list[Block]:
     def add(text: str) -> None:
         nonlocal current
         if current is None:
-            current = Block(stack[-1], stack[-1].number)
+            current = Block(stack[-1], tuple(e.number for e in stack))
             blocks.append(current)
         current.parts.append(text)
         if links:
@@ -128,7 +154,7 @@ def page_blocks(page: str) -> list[Block]:
         if tag in RAW_TAGS:
             if not closing and not m[3].endswith("/"):
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = stop.end() if stop else end if tag in OPEN_ENDED else at
             continue
         if tag == "br":
             if current is not None:
@@ -153,9 +179,6 @@ def page_blocks(page: str) -> list[Block]:
             number += 1
             stack.append(_element(tag, m[3], stack[-1], number))
             stack[-1].number = number
-    for block in blocks:
-        if block.parent.tag in PARAGRAPH_TAGS:
-            block.group = -1
     return [b for b in blocks if b.text()]
 
 
@@ -232,6 +255,16 @@ def source_side(odds: list[float], ties: list[tuple[int, int, float]]) -> list[b
                 turn[a] += 1
 
 
+def tree_distance(a: Block, b: Block) -> int:
+    """Steps between two blocks in the tree of elements, by their nearest common ancestor; 1 within one element."""
+    shared = 0
+    for x, y in zip(a.above, b.above):
+        if x != y:
+            break
+        shared += 1
+    return 1 + len(a.above) + len(b.above) - 2 * shared
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page in order, joined by two line ends."""
     blocks = page_blocks(page or "")
@@ -240,12 +273,10 @@ def main_text(page: str | None) -> str:
     odds = [content_odds(b, t, has_article) for b, t in zip(blocks, texts)]
     ties, last = [], {}
     for i, block in enumerate(blocks):
-        if i:
-            ties.append((i - 1, i, NEXT_TIE))
-        key = (block.parent.content, block.parent.other)
-        if key in last and last[key] < i - 1:
-            ties.append((last[key], i, PARENT_TIE))
-        last[key] = i
+        near = {i - 1} if i else set()
+        near |= {last[element] for element in block.above[-3:] if element in last}
+        ties += [(j, i, NEAR_TIE / tree_distance(blocks[j], block)) for j in sorted(near)]
+        last.update(dict.fromkeys(block.above, i))
     side = source_side(odds, ties)
     return "\n\n".join(t for t, keep in zip(texts, side) if keep)
 
