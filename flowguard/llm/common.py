@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def spread(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a keyed shuffle: the session's setting."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

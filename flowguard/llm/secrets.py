@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import written
+from flowguard.llm.common import fresh_name, written
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ EXTRA_RULES = (
 )
 RULES = BASE_RULES + EXTRA_RULES
 MASK = "[secret]"
+RUN = 128
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -53,13 +54,19 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     between = F.transform(F.split(text, rule.pattern, -1), F.char_length)
     lengths = F.transform(whole, F.char_length)
     total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
-
-    def span(row: Column, i: Column) -> Column:
-        start = total(F.slice(row["between"], F.lit(1), i + 1)) + total(F.slice(row["lengths"], F.lit(1), i))
+    # Sums of all that lies before a match, by runs of RUN matches: a text with many stays linear in practice.
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(lengths)), lengths, lambda b, n: b + n)
+    one = F.array(F.struct(between.alias("between"), lengths.alias("lengths"), group.alias("group"), steps.alias("steps")))
+    runs = lambda row: F.sequence(F.lit(0), F.floor((F.size(row["steps"]) - 1) / RUN).cast("int"))
+    sums = F.transform(one, lambda row: F.struct(row.alias("row"), F.transform(runs(row), lambda r: total(F.slice(row["steps"], r * RUN + 1, F.lit(RUN)))).alias("sums")))
+    before = F.transform(sums, lambda x: F.struct(x["row"].alias("row"), F.transform(runs(x["row"]), lambda r: total(F.slice(x["sums"], F.lit(1), r))).alias("before")))
+
+    def span(x: Column, i: Column) -> Column:
+        row, run = x["row"], F.floor(i / RUN).cast("int")
+        start = F.element_at(x["before"], run + 1) + total(F.slice(row["steps"], run * RUN + 1, i - run * RUN)) + F.element_at(row["between"], i + 1)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + F.element_at(row["lengths"], i + 1)).alias("end"), F.char_length(F.element_at(row["group"], i + 1)).alias("size"))
 
-    parts = F.array(F.struct(between.alias("between"), lengths.alias("lengths"), group.alias("group")))
-    found = F.flatten(F.transform(parts, lambda row: F.transform(F.sequence(F.lit(0), F.size(row["lengths"]) - 1), lambda i: span(row, i))))
+    found = F.flatten(F.transform(before, lambda x: F.transform(F.sequence(F.lit(0), F.size(x["row"]["lengths"]) - 1), lambda i: span(x, i))))
     kept = F.filter(found, lambda s: s["size"] >= rule.least)
     plain = F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
     return F.when(F.regexp_like(text, pattern), plain)
@@ -114,27 +121,29 @@ def joined_spans(spans: Column) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span masked and n_chars brought up to date; columns unchanged.
 
-    Spans that overlap are masked as one. Texts without findings stay as they are.
+    Spans that overlap are masked as one. Texts without findings, null and empty ones too,
+    stay as they are, and so does every other column, whatever its name.
     """
+    name = {part: fresh_name(docs, part) for part in ("blob", "spans", "masked")}
     paths, _ = scan(docs, None, rules)
-    hits = paths.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    hits = paths.where(F.size("spans") > 0).select(F.col("blob").alias(name["blob"]), F.col("spans").alias(name["spans"])).dropDuplicates([name["blob"]])
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    marked = docs.join(hits.hint("shuffle_hash"), blob == F.col("_blob"), "left")
+    marked = docs.join(hits.hint("shuffle_hash"), blob == F.col(name["blob"]), "left")
 
     def step(state: Column, s: Column) -> Column:
         fresh = F.concat(state["out"], F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(MASK))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
-    text = F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text"))
-    marked = marked.withColumn("_text", text)
+    masked = F.aggregate(name["spans"], start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
+    hit = F.col(name["spans"]).isNotNull()
+    marked = marked.withColumn(name["masked"], F.when(hit, masked).otherwise(F.col("text")))
     columns = []
     for field in docs.schema:
         if field.name == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col(name["masked"]).alias("text"))
         elif field.name == "n_chars":
-            columns.append(F.when(F.col("_spans").isNotNull(), F.char_length("_text").cast(field.dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+            columns.append(F.when(hit, F.char_length(name["masked"]).cast(field.dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
         else:
             columns.append(F.col(f"`{field.name}`"))
     return marked.select(*columns)
