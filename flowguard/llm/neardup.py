@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import WordHashes, bounded_batches, mix, shingles_of, spread, text_bytes, words_of, written
+from flowguard.llm.common import WordHashes, bounded_batches, fresh_name, mix, shingles_of, spread, text_bytes, words_of, written
 
 BANDS = 40
 ROWS = 5
@@ -34,6 +34,8 @@ BITS = 4
 PART = 64
 GROUP_BLOCK = 2048
 BLOCK = 256
+#: Where the numbers of rows without an id of their own begin; ids are smaller.
+AGAIN, NO_ID = 1 << 61, 1 << 62
 
 _K = BANDS * ROWS
 _SEEDS = mix(np.arange(1, 2 * _K + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -350,6 +352,19 @@ def _apart(clusters: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose near copy with a smaller id stays; columns unchanged."""
-    gone = near_components(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of every group of near copies; columns unchanged.
+
+    The row with the smallest id stays. Rows that repeat an id, with equal texts or not, are
+    rows of their own: the first stays before the others. Rows without an id come after all
+    others, so one of them stays only where the group has no id at all. Null, empty and
+    blank texts are linked with nothing and stay. An empty table stays empty.
+    """
+    row, first, own = (fresh_name(docs, name) for name in ("row", "first", "own"))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    repeated = numbered.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias(first), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = written(repeated.select(F.col("doc_id").alias(own), first), "repeated")
+    met = numbered.join(repeated, numbered["doc_id"] == repeated[own], "left").drop(own)
+    later = F.when(F.col("doc_id").isNull(), F.col(row) + NO_ID).when(F.col(first) != F.col(row), F.col(row) + AGAIN)
+    met = met.withColumn(own, F.coalesce(later, F.col("doc_id").cast("long"))).drop(row, first)
+    gone = near_components(met.select(F.col(own).alias("doc_id"), "text"), width, percent).where("not kept").select(F.col("doc_id").alias(first))
+    return met.join(gone, met[own] == gone[first], "left_anti").drop(own)
