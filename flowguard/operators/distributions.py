@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,26 +96,31 @@ def frame_audit(df: DataFrame, features: list[str]) -> dict:
 def column_profile(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
     """Per column its kind and either the leading values or min, max and mean.
 
-    Distinct counts come from grouping by value (spread over tasks), not from a
-    set held for a whole column.
+    Texts are grouped by value, spread over tasks. A numeric column matters by its values
+    only while there are at most ``top`` of them, so a task counts them in a set of that
+    size and, once there are more, sends a mark instead: at most ``top + 1`` rows per column
+    and task are shuffled, however many numbers there are.
     """
     present = [c for c in columns if c in df.columns]
     textual = [c for c in present if isinstance(df.schema[c].dataType, T.StringType | T.BooleanType)]
     numeric = [c for c in present if c not in textual]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in present])
-    counts = (
-        df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    parts = []
+    if textual:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in textual])
+        parts.append(df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    if numeric:
+        parts.append(_few_values(df, numeric, top))
+    counts = reduce(DataFrame.unionByName, parts)
     # One row per column of interest, whatever the size of the data.
-    uniques = counts.groupBy("column").agg(F.count("value").alias("unique_values"))
-    leading = _leading(counts, top)
+    uniques = counts.groupBy("column").agg(F.count("value").alias("unique_values"), F.min("n").alias("_least"))
+    leading = _leading(counts.where("n > 0"), top)
     profile = uniques.join(leading, "column", "left")
     summary = numeric_summary(df, numeric) if numeric else None
     if summary is not None:
         profile = profile.join(summary, "column", "left")
     else:
         profile = profile.withColumns({n: F.lit(None).cast("double") for n in ("min", "max", "mean")})
-    few = F.col("unique_values") <= top
+    few = (F.col("unique_values") <= top) & (F.col("_least") > 0)
     kind = F.when(F.col("column").isin(textual), "categorical").when(few, "categorical_numeric").otherwise("numeric")
     counted = F.col("kind") != "numeric"
     return profile.withColumn("kind", kind).select(
@@ -122,6 +132,40 @@ def column_profile(df: DataFrame, columns: list[str], top: int = 20) -> DataFram
     )
 
 
+def _few_values(df: DataFrame, numeric: list[str], top: int) -> DataFrame:
+    """(column, value, n) of numeric columns; a column with more than ``top`` values has a row with n = -1."""
+    whole = {c: isinstance(df.schema[c].dataType, T.IntegralType) for c in numeric}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, dict | None] = {c: {} for c in numeric}
+        for batch in batches:
+            for c in numeric:
+                held = seen[c]
+                if held is None:
+                    continue
+                for item in pc.value_counts(batch.column(c)).to_pylist():
+                    value = item["values"]
+                    key = "NaN" if value != value else value
+                    held[key] = held.get(key, 0) + item["counts"]
+                if len(held) - (None in held) > top:
+                    seen[c] = None
+        rows = []
+        for c, held in seen.items():
+            entries = [(None, -1)] if held is None else list(held.items())
+            for key, n in entries:
+                value = float("nan") if key == "NaN" else key
+                rows.append((c, value if value is not None and whole[c] else None, value if value is not None and not whole[c] else None, n))
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["column", "whole", "real", "n"])
+
+    typed = df.select(*[F.col(c).cast("long" if whole[c] else "double").alias(c) for c in numeric])
+    told = typed.mapInArrow(run, "column string, whole long, real double, n long")
+    value = F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"))
+    summed = F.when(F.min("n") < 0, F.lit(-1).cast("long")).otherwise(F.sum("n"))
+    return told.groupBy("column", value.alias("value")).agg(summed.alias("n"))
+
+
 def _leading(counts: DataFrame, top: int) -> DataFrame:
     from pyspark.sql import Window
 

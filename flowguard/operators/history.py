@@ -219,25 +219,24 @@ def executions(df: DataFrame, filters: dict | None = None) -> DataFrame:
     )
 
 
-def _label_cube(df: DataFrame) -> DataFrame:
-    """Counts per label combination: the only scan that summaries need."""
-    return df.groupBy(*[key_text(F.col(c)).alias(c) for c in LABEL_COLUMNS]).agg(
+def _rolled_totals(df: DataFrame, executions: bool = False) -> DataFrame:
+    """Totals, AI-support counts, label distributions and, on request, executions; one scan, one row.
+
+    Rows are combined per combination of keys first; the rest rolls up that table.
+    """
+    keys = [*(["_execution"] if executions else []), *LABEL_COLUMNS]
+    named = {"_execution": key_text(F.col("execution_id")) if executions else None, **{c: key_text(F.col(c)) for c in LABEL_COLUMNS}}
+    cube = df.groupBy(*[named[c].alias(c) for c in keys]).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(support_flag(df)).alias("ai"),
         F.count_if(support_flag(df, "conservative")).alias("strong"),
     )
-
-
-def live_totals(df: DataFrame) -> DataFrame:
-    """Totals, AI-support counts and three distributions; one row."""
-    cube = _label_cube(df)
-    rolled = cube.groupingSets([[], *[[F.col(c)] for c in LABEL_COLUMNS]], *LABEL_COLUMNS).agg(
-        F.grouping_id().alias("_level"),
-        *[F.sum(c).cast("long").alias(c) for c in ("n", "ai", "strong")],
+    rolled = cube.groupingSets([[], *[[F.col(c)] for c in keys]], *keys).agg(
+        F.grouping_id().alias("_level"), *[F.sum(c).cast("long").alias(c) for c in ("n", "ai", "strong")]
     )
-    # The grouping id has a bit per label that was rolled up.
-    every = 2 ** len(LABEL_COLUMNS) - 1
-    level = {c: every - 2 ** (len(LABEL_COLUMNS) - 1 - i) for i, c in enumerate(LABEL_COLUMNS)}
+    # The grouping id has a bit per key that was rolled up.
+    every = 2 ** len(keys) - 1
+    level = {c: every - 2 ** (len(keys) - 1 - i) for i, c in enumerate(keys)}
     total = lambda c: F.coalesce(F.max(F.when(F.col("_level") == every, F.col(c))), F.lit(0))
     alerts = (F.col("_level") == level["final_label"]) & (F.col("final_label") == "anomaly")
     return rolled.agg(
@@ -251,25 +250,30 @@ def live_totals(df: DataFrame) -> DataFrame:
             ).alias(f"{c}_distribution")
             for c in LABEL_COLUMNS
         ],
+        *([F.count_if(F.col("_level") == level["_execution"]).alias("total_executions")] if executions else []),
     )
 
 
-def latest_row(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    """The newest row as one struct; null when there is none."""
-    row = F.struct(*(columns or df.columns))
-    return df.agg(F.max_by(row, F.struct(history_time(), F.col("id"))).alias(name))
+def live_totals(df: DataFrame) -> DataFrame:
+    """Totals, AI-support counts and three distributions; one row."""
+    return _rolled_totals(df)
 
 
 def history_summary(
     windows: DataFrame, analyses: DataFrame | None = None, results: DataFrame | None = None, filters: dict | None = None
 ) -> DataFrame:
-    """A10: one row of live and batch totals, distributions and newest rows."""
+    """A10: one row of live and batch totals, distributions and newest rows.
+
+    The windows are scanned twice (totals; newest rows), analyses twice, results once.
+    """
     live = history_filter(windows, filters)
-    summary = live_totals(live)
+    summary = _rolled_totals(live, executions=True)
+    row, order, alert = F.struct(*live.columns), F.struct(history_time(), F.col("id")), F.col("final_label") == "anomaly"
     others = [
-        live.select(key_text(F.col("execution_id")).alias("e")).distinct().agg(F.count("e").alias("total_executions")),
-        latest_row(live, "latest_window"),
-        latest_row(history_filter(live, alerts_only=True), "latest_alert"),
+        live.agg(
+            F.max_by(row, order).alias("latest_window"),
+            F.max_by(F.when(alert, row), F.when(alert, order)).alias("latest_alert"),
+        )
     ]
     if analyses is not None:
         names = ["final_status", "predominant_attack_type", "predominant_risk_level"]
