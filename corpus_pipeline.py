@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowguard.llm.common import table, written
 from flowguard.llm.decontaminate import drop_contaminated
 from flowguard.llm.neardup import keep_one
-from flowguard.llm.packing import pack
+from flowguard.llm.packing import pack, token_lengths
 from flowguard.llm.secrets import redact
 from flowguard.llm.toxicity import drop_toxic, fit_labels
 
@@ -37,8 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into batches of bounded padded size."""
-    return pack(docs)
+    """Packs the documents into batches of a bounded number of padded tokens."""
+    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")), F.col("n_tokens"))
 
 
 STAGES: list[tuple[str, Stage]] = [

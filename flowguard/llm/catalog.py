@@ -14,7 +14,7 @@ from flowguard.llm import hpylm, oracles
 from flowguard.llm.html_text import extract_text
 from flowguard.llm.merkle import manifest
 from flowguard.llm.neardup import near_components
-from flowguard.llm.packing import pack
+from flowguard.llm.packing import pack, token_lengths
 from flowguard.llm.prefix_trie import conversation_trie
 from flowguard.llm.repeats import remove_repeats
 from flowguard.llm.secrets import BASE_RULES, joined_spans, scan
@@ -101,8 +101,9 @@ def op7_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op8_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    """Bucket, batch and slot of every document."""
-    return pack(table(spark, folder, "documents"))
+    """Bucket, batch and slot of every document, by its tokens."""
+    docs = table(spark, folder, "documents")
+    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")), F.col("n_tokens"))
 
 
 @_query

@@ -441,3 +441,14 @@ def test_many_secrets_of_one_text_have_their_places(spark):
     found = [(s.start, s.kind, s.end) for s in paths.first().spans]
     want = [(m.start(), r.kind, m.end()) for r in secrets.BASE_RULES for m in re.finditer(r.pattern, text) if len(m.group(r.group)) >= r.least]
     assert found == sorted(want) and len(found) == 3001
+
+
+def test_texts_have_the_tokens_of_their_words(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = sample_texts() + [(60, "<|endoftext|> a# b ́c it's \x1cq \x85 z\u00a0y"), (61, "中文" * 3000), (None, None)]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    got = sorted(map(tuple, packing.token_lengths(docs_of(spark, rows), path).collect()), key=str)
+    assert got == sorted(((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows), key=str)
+    packed = packing.pack(packing.token_lengths(docs_of(spark, rows), path), F.col("n_tokens"), buckets=3, token_budget=500).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in packed), key=str) == got
