@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of
 from flowguard.operators.single import attach_row
 
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 12 << 20
 LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
@@ -50,9 +50,9 @@ _PRIME = np.uint64(0x100000001B3)
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 WORD, CONTEXT, TOTALS = 0, 1, 2
 
-PAIRS = "bucket int, block long, doc_ids array<long>, contexts array<long>, spans array<int>, words array<long>, times array<int>, trained array<int>, rows array<short>"
+PAIRS = "bucket int, block long, doc_ids array<long>, lengths array<int>, contexts array<long>, spans array<int>, words array<long>, times array<int>, trained array<int>, rows array<short>"
 COUNTS = "bucket int, kind int, key long, customers long, tables double"
-PARTS = "bucket int, block long, doc_ids array<long>, rows array<short>, n_tokens array<int>, n_known array<int>, base_score array<double>, score array<float>, train_tokens long"
+PARTS = "bucket int, block long, doc_ids array<long>, lengths array<int>, rows array<short>, n_known array<int>, base_score array<double>, score array<float>, train_tokens long"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -252,6 +252,7 @@ class WordCodes(dict):
     def reset(self) -> None:
         self.clear()
         self.known: list[int] = [START, END]
+        self.lengths = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.known)
@@ -281,7 +282,7 @@ class Bucket:
         self.contexts, self.context = np.unique(context[example], return_inverse=True)
 
     def parts(self, rows: pa.Table, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> Iterator[tuple]:
-        """Per block: its rows and their sums of 1 and of the three values of every pair."""
+        """Per block: its rows and their sums of the three values of every pair."""
         get = lambda name: rows.column(name).combine_chunks()
         times, at = get("times"), get("rows")
         pair_edges, row_edges = times.offsets.to_numpy(), at.offsets.to_numpy()
@@ -291,7 +292,7 @@ class Bucket:
             i, j = pair_edges[k : k + 2]
             token = np.repeat(self.pair[i - first : j - first], times[i:j])
             held, row = np.unique(at[row_edges[k] : row_edges[k + 1]], return_inverse=True)
-            yield held, np.bincount(row), *[np.bincount(row, weights=x[token]) for x in (known, base, score)]
+            yield held, *[np.bincount(row, weights=x[token]) for x in (known, base, score)]
 
     def seat(self, parent: np.ndarray, sweeps: int, kept: int, others: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Mean tables of every pair and of every context over the last ``kept`` sweeps.
@@ -315,7 +316,7 @@ class Bucket:
 def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
     """Per bucket: contexts, pairs of each, words, occurrences of each pair and their rows."""
     texts, hashes = numbers.block(text.as_py() for text in batch.column(1))
-    sizes = np.array([len(own) + 1 for own in texts], np.int64)
+    sizes = numbers.lengths = np.array([len(own) + 1 for own in texts], np.int64)
     start = np.zeros(1, np.int32)
     stream = np.concatenate([part for own in texts for part in (start, own)] + [start])
     del texts
@@ -353,18 +354,18 @@ def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: n
 def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, block = WordCodes(), TaskContext.get().partitionId() << 40
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int16()))
-        names = ["bucket", "block", "doc_ids", "contexts", "spans", "words", "times", "trained", "rows"]
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int16()))
+        names = ["bucket", "block", "doc_ids", "lengths", "contexts", "spans", "words", "times", "trained", "rows"]
         for whole in batches:
             for batch in slices(whole, 1, BLOCK_BYTES):
                 ids = batch.column(0).to_pylist()
                 training = in_training(ids).astype(np.int32)
                 cells = list(encode_block(batch, numbers, buckets, hot))
-                # one cell of a block, another one from block to block, carries the ids
+                # one cell of a block, another one from block to block, carries the ids and lengths
                 carrier = int(mix(np.array([block], np.uint64))[0]) % max(len(cells), 1)
                 for k, (b, contexts, spans, words, times, rows) in enumerate(cells):
                     trained = np.add.reduceat(training[rows], np.cumsum(times) - times)
-                    values = [b], [block], [ids if k == carrier else None], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [times], [trained], [rows]
+                    values = [b], [block], [ids if k == carrier else None], [numbers.lengths if k == carrier else None], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [times], [trained], [rows]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
                 block += len(ids)
 
@@ -481,10 +482,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
         probability = (seen + (STRENGTH + DISCOUNT * per_context[context]) * chance[bucket.word]) / (STRENGTH + total[context])
         base = np.log10((word_count + 1) / (n + v + 1))[bucket.word]
         held, *sums = zip(*bucket.parts(rows, (word_count > 0)[bucket.word].astype(float), base, np.log10(probability)))
-        n_tokens, n_known, base_score, scores = sums
+        n_known, base_score, scores = sums
         whole = lambda parts: pa.array([np.rint(x).astype(np.int32) for x in parts], pa.list_(pa.int32()))
         return pa.table({
-            "bucket": rows.column("bucket"), "block": rows.column("block"), "doc_ids": rows.column("doc_ids"), "rows": pa.array(held, pa.list_(pa.int16())), "n_tokens": whole(n_tokens), "n_known": whole(n_known),
+            "bucket": rows.column("bucket"), "block": rows.column("block"), "doc_ids": rows.column("doc_ids"), "lengths": rows.column("lengths"), "rows": pa.array(held, pa.list_(pa.int16())), "n_known": whole(n_known),
             "base_score": pa.array(base_score, pa.list_(pa.float64())), "score": pa.array([x.astype(np.float32) for x in scores], pa.list_(pa.float32())), "train_tokens": np.full(rows.num_rows, n),
         })
 
@@ -494,7 +495,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         at = rows.column("rows").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         total = lambda name: np.bincount(at, weights=rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False), minlength=len(ids))
         return pa.table({
-            "doc_id": ids, "n_tokens": total("n_tokens").astype(np.int64), "n_known": total("n_known").astype(np.int64),
+            "doc_id": ids, "n_tokens": rows.column("lengths").drop_null().combine_chunks().flatten().cast(pa.int64()), "n_known": total("n_known").astype(np.int64),
             "train_tokens": pa.array(np.full(len(ids), rows.column("train_tokens")[0].as_py())), "base_score": total("base_score"), "score": total("score"),
         })
 
