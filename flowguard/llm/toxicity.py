@@ -32,8 +32,9 @@ class FactorizationConfig:
     """Bounds and rates of the fit.
 
     ``sample_rows`` labelled rows at most are used, taken in hash order of their ids;
-    ``max_terms`` terms at most get weights, each seen in ``min_rows`` sampled rows or more
-    and with a label count ``least_surplus`` standard deviations or more from the expected.
+    a term gets weights when it was seen in ``min_rows`` of them or more and its label count is
+    ``least_surplus`` standard deviations or more from the expected, among all of them or
+    among those that hold such a term: ``max_terms`` terms at most each time.
     """
 
     sample_rows: int = 16_000
@@ -79,6 +80,25 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "terms", "toxic"])
 
 
+def telling_terms(rows: DataFrame, config: FactorizationConfig, most: int) -> list[int]:
+    """Terms whose label counts among ``rows`` are far from the expected, the furthest first; counted in Spark."""
+    total, hits = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = hits / max(1, total)
+    spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+    counts = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
+    ranked = counts.where(F.col("n") >= config.min_rows).withColumn("surplus", F.abs(F.col("p") - F.col("n") * share) / spread)
+    best = ranked.where(F.col("surplus") >= config.least_surplus).orderBy(F.desc("surplus"), "term").limit(most)
+    return [r.term for r in best.select("term").collect()]
+
+
+def _holding(terms: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(np.isin(x.values.to_numpy(), terms).any()) for x in batch.column(1)], pa.bool_()))
+
+    return run
+
+
 def labelled_terms(docs: DataFrame, labels: DataFrame, config: FactorizationConfig) -> tuple[list[np.ndarray], np.ndarray]:
     """Term sets and labels of the sampled training rows, at most ``sample_rows`` of them.
 
@@ -90,13 +110,10 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, config: FactorizationConf
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(config.seed)), "doc_id").limit(config.sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = written(texts.mapInArrow(_terms, "doc_id long, terms array<int>, toxic int").dropDuplicates(["doc_id"]), "terms")
-    total, hits = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    share = hits / max(1, total)
-    spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
-    counts = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
-    ranked = counts.where(F.col("n") >= config.min_rows).withColumn("surplus", F.abs(F.col("p") - F.col("n") * share) / spread)
-    best = ranked.where(F.col("surplus") >= config.least_surplus).orderBy(F.desc("surplus"), "term").limit(config.max_terms)
-    terms = np.sort(np.array([r.term for r in best.select("term").collect()], dtype=np.int32))
+    terms = np.sort(np.array(telling_terms(rows, config, config.max_terms), dtype=np.int32))
+    # A mention that is harmless by itself tells beside an insult: look again among the rows that hold a telling term.
+    beside = rows.mapInArrow(_holding(terms), rows.schema)
+    terms = np.union1d(terms, np.array(telling_terms(beside, config, config.max_terms), dtype=np.int32))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,18 +126,13 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, config: FactorizationConf
 
 
 def fit(term_sets: list[np.ndarray], toxic: np.ndarray, config: FactorizationConfig = FactorizationConfig()) -> FactorizationModel:
-    """Factorization machine by Adam on the logistic loss; without rows every score is the neutral 0.5."""
+    """Factorization machine over the given terms by Adam on the logistic loss; without rows every score is the neutral 0.5."""
     sizes = np.array([len(x) for x in term_sets], dtype=np.int64)
     flat = np.concatenate(term_sets) if len(term_sets) else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(sizes)), sizes)
     ids, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    positive = np.bincount(column, weights=toxic[row], minlength=len(ids)) if len(ids) else np.zeros(0)
     total, hits = len(toxic), toxic.sum()
-    share = hits / max(1, total)
-    surplus = np.abs(positive - counts * share) / np.sqrt(np.maximum(counts * share * (1 - share), 1e-9))
-    rank = np.where(counts >= config.min_rows, surplus, -1)
-    chosen = np.sort(np.argsort(-rank, kind="stable")[: config.max_terms])
-    chosen = chosen[rank[chosen] >= config.least_surplus]
+    chosen = np.flatnonzero(counts >= config.min_rows)
     place = np.full(len(ids), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0 if len(ids) else np.zeros(0, bool)
