@@ -40,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into batches of a bounded number of padded tokens."""
-    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")), F.col("n_tokens"))
+    return pack(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), F.col("n_tokens"))
 
 
 STAGES: list[tuple[str, Stage]] = [

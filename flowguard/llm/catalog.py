@@ -103,7 +103,7 @@ def op7_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
 def op8_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Bucket, batch and slot of every document, by its tokens."""
     docs = table(spark, folder, "documents")
-    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")), F.col("n_tokens"))
+    return pack(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), F.col("n_tokens"))
 
 
 @_query

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
-from flowguard.llm.common import CACHE_WORDS, bounded_batches, slices, text_bytes, written
+from flowguard.llm.common import bounded_batches, written
+from flowguard.llm.token_counts import load_encoding
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
@@ -31,39 +31,20 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
 
 
-class WordLengths(dict):
-    """Tokens of each word, remembered up to a bounded number of words.
+def token_lengths(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id and n_tokens of every row under a vocabulary file: the tokens of its text and one end token.
 
-    The vocabulary never joins characters across white space, so a text has the tokens of its words.
+    Null and empty texts have the end token alone.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def of(self, texts: list[bytes]) -> list[int]:
-        """Tokens of every text, its end token included."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        words = [text.split() for text in texts]
-        fresh = list(set().union(*words).difference(self))
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        self.update((w, len(c.ids)) for w, c in zip(fresh, coded))
-        return [sum(map(self.__getitem__, w)) + 1 for w in words]
-
-
-def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id and n_tokens of every row under a vocabulary file; null and empty texts have their end token."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = WordLengths(tokenizer_path)
+        encoding, _ = load_encoding(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.of(part.column(1).to_pylist()), pa.int64())], ["doc_id", "n_tokens"])
+            lengths = [len(encoding.encode_ordinary(text.as_py() or "")) + 1 for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], ["doc_id", "n_tokens"])
 
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def on_grid(length: Column) -> Column:

@@ -443,14 +443,14 @@ def test_many_secrets_of_one_text_have_their_places(spark):
     assert found == sorted(want) and len(found) == 3001
 
 
-def test_texts_have_the_tokens_of_their_words(spark, monkeypatch):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer = Tokenizer.from_file(path)
+def test_texts_are_packed_by_their_tokens(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoding, _ = token_counts.load_encoding(path, pattern)
     rows = sample_texts() + [(60, "<|endoftext|> a# b ́c it's \x1cq \x85 z\u00a0y"), (61, "中文" * 3000), (None, None)]
-    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
-    got = sorted(map(tuple, packing.token_lengths(docs_of(spark, rows), path).collect()), key=str)
-    assert got == sorted(((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows), key=str)
-    packed = packing.pack(packing.token_lengths(docs_of(spark, rows), path), F.col("n_tokens"), buckets=3, token_budget=500).collect()
+    lengths = packing.token_lengths(docs_of(spark, rows), path, pattern)
+    got = sorted(map(tuple, lengths.collect()), key=str)
+    assert got == sorted(((i, len(encoding.encode_ordinary(t or "")) + 1) for i, t in rows), key=str)
+    packed = packing.pack(lengths, F.col("n_tokens"), buckets=3, token_budget=500).collect()
     assert sorted(((r.doc_id, r.n_tokens) for r in packed), key=str) == got
 
 
