@@ -8,12 +8,14 @@ FLOW = " Flow Duration,Total Length of Fwd Packets, Total Fwd Packets,Average Pa
 
 def test_training_and_inference(spark, tmp_path):
     (tmp_path / "t.csv").write_text(" connections ,bytes,packets,packet_size,ports,label\n1,100,2,50,1,0\n2,inf,x,5,,1\n")
-    rows = D.load_training(spark, str(tmp_path / "t.csv")).orderBy("row_id").collect()
+    rows = D.load_training(spark, str(tmp_path / "t.csv")).orderBy("connections").collect()
     assert [r.y for r in rows] == [0, 1]
     assert (rows[1].bytes, rows[1].packets, rows[1].ports, rows[0].bytes_per_packet) == (0.0, 0.0, 0.0, 50.0)
     assert D.load_inference(spark, str(tmp_path / "t.csv")).columns == V.FEATURES
     (tmp_path / "text.csv").write_text("connections,bytes,packets,packet_size,ports,Label\n1,1,1,1,1, benign\n1,1,1,1,1,DoS\n1,1,1,1,1,0.0\n")
-    assert [r.y for r in D.load_training(spark, str(tmp_path / "text.csv")).orderBy("row_id").collect()] == [0, 1, 1]
+    text = D.load_training(spark, str(tmp_path / "text.csv"))
+    assert sorted(r.y for r in text.collect()) == [0, 1, 1]
+    assert text.select("row_id").distinct().count() == 3 and sorted(text.collect()) == sorted(text.repartition(3).collect())
     (tmp_path / "bad.csv").write_text("connections,bytes,label\n1,2,0\n")
     with pytest.raises(ValueError):
         D.load_training(spark, str(tmp_path / "bad.csv"))
