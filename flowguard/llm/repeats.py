@@ -139,7 +139,8 @@ def _passages_of(rows: list[tuple], split: set, numbers: WordHashes, width: int)
     """Confirmed passages of some groups, and the single windows of those in ``split``.
 
     A row is (group, key, start, words). An occurrence is a (key, place), however many
-    stretches hold it. The first occurrence stands for a window.
+    stretches of its group hold it. The first occurrence stands for a window; each group has
+    its own, since its stretches meet no passage of another group.
     """
     words = [w for r in rows for w in r[3]]
     lengths = np.array([len(r[3]) for r in rows], np.int64)
@@ -148,11 +149,12 @@ def _passages_of(rows: list[tuple], split: set, numbers: WordHashes, width: int)
         return []
     row = np.repeat(np.arange(len(rows)), lengths)[places]
     offset = (np.cumsum(lengths) - lengths)[row]
+    group = np.cumsum([i > 0 and r[0] != rows[i - 1][0] for i, r in enumerate(rows)])[row]
     key, at = np.array([r[1] for r in rows])[row], np.array([r[2] for r in rows])[row] + places - offset
     hashes = numbers.of(words)
     one, two = sequence_hash(hashes, width)[places], sequence_hash(hashes, width, 1)[places]
-    order = np.lexsort((at, key, two, one))
-    same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    order = np.lexsort((at, key, two, one, group))
+    same = (group[order[1:]] == group[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
     moved = (key[order[1:]] != key[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
     head = np.concatenate([[True], ~same])
     window = np.cumsum(head) - 1

@@ -62,6 +62,28 @@ def test_split_groups_and_parts_change_nothing(spark, monkeypatch):
     assert got(spark, same, 6) == brute(same, 6)
 
 
+def test_sentences_said_again_and_again(spark):
+    """Texts of one repeated sentence, parts of which open other texts: groups in one task keep passages of their own."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 160, 2):
+        sentence = [f"s{i}w{j}" for j in range(rng.randint(5, 11))]
+        rows.append((i + 1, " ".join([*(f"x{i}y{j}" for j in range(4)), *sentence[: rng.randint(3, 5)], "end"])))
+        rows.append((i, " ".join((sentence * 6)[rng.randint(0, 4) : -rng.randint(1, 4)])))
+    rng.shuffle(rows)
+    assert got(spark, rows, 9) == brute(rows, 9)
+    assert got(spark, rows, 12) == brute(rows, 12)
+
+
+def test_groups_taken_together_keep_their_own_passages():
+    words = [b"w%d" % i for i in range(7)] * 5
+    rows = [((1, 0, 0), 50, 0, words[:-3]), ((2, 0, 0), 50, 3, words[3:])]
+    found = repeats._passages_of(rows, set(), repeats.WordHashes(), 9)
+    for owner, stretch in ((1, words[:-3]), (2, words[3:])):
+        shard = repeats.Shard([p[4] for p in found if p[0] == owner], 9)
+        assert shard.covered([stretch]) == [[(0, len(stretch))]]
+
+
 def test_no_rows_and_nothing_repeated(spark):
     assert got(spark, [], 5) == []
     rows = [(1, "a b c d e f"), (2, "b c d x e f")]
