@@ -45,7 +45,7 @@ def _landed(spark: SparkSession, folder: str) -> tuple[str, LiveStore, str]:
     base = f"{ensure_checkpoint_dir(spark)}/replay-{uuid4().hex}"
     lines = tables.lines(spark, folder).where("value IS NOT NULL")
     for i in (0, 2, 1):
-        part = lines.where(F.floor(F.pmod("event_id", F.lit(3000)) / 1000) == i).select("value")
+        part = lines.where(F.floor(F.pmod("event_id", F.lit(300)) / 100) == i).select("value")
         part.coalesce(1).write.mode("append").text(f"{base}/in")
     return f"{base}/in", LiveStore(f"{base}/store", WINDOW_6H), f"{base}/checkpoint"
 

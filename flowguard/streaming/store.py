@@ -127,11 +127,14 @@ def _write_windows(spark: SparkSession, store: LiveStore, version: int, before:
     end = F.col("_start") + F.make_dt_interval(secs=F.lit(store.seconds))
     windows = finish_windows(folded, F.col("_start"), end, store.seconds)
     place = store.place("windows", version)
-    score(windows).withColumn("day", F.to_date("window_start")).write.mode("overwrite").partitionBy("day").parquet(place)
-    written = spark.read.parquet(place)
+    scored = score(windows).withColumn("day", F.to_date("window_start"))
+    scored.write.mode("overwrite").partitionBy("day").parquet(place)
+    written = spark.read.schema(scored.schema).parquet(place)
     earlier = read_if_present(spark, store.place("windows"), "window_id string, version long, day date").where((F.col("version") < version) & F.col("day").isin(days))
     earlier = earlier.join(F.broadcast(known), "version", "left_semi").select("window_id").distinct()
     total = written.count()
+    if not total:  # an empty file, so that readers find the columns
+        scored.drop("day").limit(0).coalesce(1).write.mode("overwrite").parquet(f"{place}/day=1970-01-01")
     revised = written.select("window_id").join(earlier, "window_id", "left_semi").count()
     waiting = 0 if flush or now is None else counts.where(F.col("_start") >= F.lit(closed)).select(*keys).distinct().count()
     return {"windows_generated": total - revised, "windows_revised": revised, "windows_pending": waiting}
