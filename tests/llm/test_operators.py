@@ -452,23 +452,3 @@ def test_texts_are_packed_by_their_tokens(spark):
     assert got == sorted(((i, len(encoding.encode_ordinary(t or "")) + 1) for i, t in rows), key=str)
     packed = packing.pack(lengths, F.col("n_tokens"), buckets=3, token_budget=500).collect()
     assert sorted(((r.doc_id, r.n_tokens) for r in packed), key=str) == got
-
-
-def test_a_harmless_mention_is_learnt_beside_an_insult(spark):
-    rng = random.Random(21)
-    rows, labels = [], []
-    for i in range(3000):
-        insult, mention = rng.random() < 0.1, rng.random() < 0.3
-        words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(12)] + ["vermin"] * insult + ["neighbours"] * mention
-        rows.append((i, " ".join(rng.sample(words, len(words)))))
-        labels.append((i, 1, int(insult and mention)))
-    docs, marks = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    config = toxicity.FactorizationConfig(epochs=40)
-    model = toxicity.fit_labels(docs, marks, config)
-    place = {int(t): k for k, t in enumerate(model.ids)}
-    assert all(any(t in place for t in toxicity.word_terms(w)) for w in ("vermin", "neighbours"))
-    scores = {t: toxicity.TextScorer(model)(t) for t in ("vermin", "neighbours", "vermin neighbours", "plain words")}
-    assert scores["vermin neighbours"] > 0.7 > max(v for t, v in scores.items() if t != "vermin neighbours")
-    got = {r.doc_id: r for r in toxicity.score_texts(docs, model).collect()}
-    held = [(got[i].predicted, t) for i, _, t in labels if got[i].held_out]
-    assert sum(p == t for p, t in held) / len(held) > 0.98
