@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from flowguard.llm.common import CACHE_WORDS, bounded_batches, mix, slices, text_bytes, words_of
 from flowguard.operators.single import attach_row
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 18 << 20
 BLOCK_BYTES = 12 << 20
 LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
