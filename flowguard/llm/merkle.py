@@ -6,7 +6,9 @@ are grouped away one after the other, each time nesting the child structs in the
 until a row is left per block. Block roots are the leaves of the next tier, and the roots of
 the trees are the leaves of one last tree. Downwards, a block's nested structs are exploded
 level by level, so that every leaf meets its siblings in the row it already is in. A block
-meets the path above it by grouping (union and one aggregation), not by a join.
+meets the path above it by grouping (union and one aggregation), not by a join; the last tree
+hands its root and paths to the trees below in the same way. Every leaf, tampered or not, is
+then folded with its siblings, and the outcome is held against the root of the rollup.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def encoded(value: Column) -> Column:
 
 
 def leaf_table(docs: DataFrame) -> DataFrame:
-    """tree, doc_id, the leaf hash and that of the tampered row (null where nothing changes).
+    """tree, doc_id, the leaf hash and that of the tampered row (null where none is tampered with).
 
     ``tree`` is empty for a null language and ``=`` before any other, so that its bytewise
     order is the order of languages with null first.
@@ -46,7 +48,7 @@ def leaf_table(docs: DataFrame) -> DataFrame:
     changed = rows.select("*", F.translate("text", UPPER, UPPER.lower()).alias("lowered"))
     leaf = digest(*[encoded(F.col(name)) for name in FIELDS])
     tampered = digest(*[encoded(F.col(name)) for name in FIELDS[:-1]], encoded(F.col("lowered")))
-    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0) & (F.col("lowered") != F.col("text"))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     tree = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
     return changed.select(tree.alias("tree"), "doc_id", leaf.alias("hash"), F.when(hit, tampered).alias("tampered"), F.monotonically_increasing_id().alias("row"))
 
@@ -105,28 +107,28 @@ def _step(level: int) -> Column:
     return F.when(F.col("size") <= FANOUT**level, F.array().cast(STEPS)).otherwise(step)
 
 
-def exploded(blocks: DataFrame, leaf_fields: list[str]) -> DataFrame:
-    """tree, rank, the leaf fields and ``path`` (steps, the leaf's own level first) of every leaf.
+def exploded(blocks: DataFrame, leaf_fields: list[str], carry: list[str]) -> DataFrame:
+    """tree, rank, the leaf fields, ``path`` (steps, the leaf's own level first) and ``carry`` of every leaf.
 
-    ``blocks`` has the columns of ``rolled_up`` and ``path``, the steps above its root.
+    ``blocks`` has the columns of ``rolled_up``, ``path``, the steps above its root, and ``carry``.
     """
-    rows = blocks.select("tree", "size", "block", "path", "children", F.col("block").alias("rank"))
+    rows = blocks.select("tree", "size", "path", *carry, "children", F.col("block").alias("rank"))
     for level in reversed(range(DIGITS)):
         hashes = F.transform("children", lambda c: c["hash"])
-        opened = rows.select("tree", "size", "rank", "path", hashes.alias("hashes"), F.posexplode("children").alias("at", "child"))
+        opened = rows.select("tree", "size", "rank", "path", *carry, hashes.alias("hashes"), F.posexplode("children").alias("at", "child"))
         fields = ["children"] if level else leaf_fields
         rows = opened.select(
             "tree", "size", (F.col("rank") * FANOUT + F.col("at")).alias("rank"), F.concat(_step(level), "path").alias("path"),
-            *[F.col("child")[f].alias(f) for f in fields],
+            *carry, *[F.col("child")[f].alias(f) for f in fields],
         )
     return rows
 
 
-def _paths(nodes: DataFrame, leaf_fields: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """(leaf rows with their path inside their tree, tree and root of every tree).
+def _tiers(nodes: DataFrame, leaf_fields: list[str], name: str) -> tuple[list[tuple[DataFrame, list[str]]], DataFrame]:
+    """(blocks and leaf fields of every tier, tree and root of every tree).
 
-    Upwards a tier turns nodes into block roots until every tree has one; downwards each tier
-    hands its paths to the blocks below. A tier reads the rows its predecessor wrote.
+    A tier turns nodes into block roots until every tree has one; it reads the rows its
+    predecessor wrote.
     """
     tiers, fields = [], leaf_fields
     while True:
@@ -134,19 +136,21 @@ def _paths(nodes: DataFrame, leaf_fields: list[str], name: str) -> tuple[DataFra
         tiers.append((blocks, fields))
         largest = blocks.agg(F.max("size")).first()[0] or 0
         if largest <= BLOCK:
-            break
+            return tiers, blocks.select("tree", "hash")
         nodes = blocks.select("tree", F.col("block").alias("rank"), F.shiftright(F.col("size") + (BLOCK - 1), BITS * DIGITS).alias("size"), "hash")
         fields = ["hash"]
-    roots = blocks.select("tree", "hash")
-    blocks, fields = tiers.pop()
-    rows = exploded(blocks.withColumn("path", F.array().cast(STEPS)), fields)
-    while tiers:
-        blocks, fields = tiers.pop()
-        above = rows.select("tree", F.col("rank").alias("block"), "path")
+
+
+def _descended(tiers: list[tuple[DataFrame, list[str]]], above: DataFrame) -> DataFrame:
+    """Leaf rows with their path to the very top; ``above`` has tree, the path of its root and columns to carry down."""
+    carry = [c for c in above.columns if c not in ("tree", "path")]
+    above = above.withColumn("block", F.lit(0).cast("long"))
+    for blocks, fields in reversed(tiers):
         met = blocks.drop("hash").unionByName(above, allowMissingColumns=True).groupBy("tree", "block")
-        met = met.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("size", "children", "path")])
-        rows = exploded(met, fields)
-    return rows, roots
+        met = met.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("size", "children", "path", *carry)])
+        rows = exploded(met, fields, carry)
+        above = rows.select("tree", F.col("rank").alias("block"), "path", *carry)
+    return rows
 
 
 def _folded(node: Column, steps: Column) -> Column:
@@ -163,13 +167,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     partitions = spread(docs.sparkSession)
     leaves = written(leaf_table(docs), "leaves")
     nodes = ranked(leaves, ["doc_id", "hash", "row"], ["doc_id", "hash", "tampered"], partitions)
-    rows, subroots = _paths(nodes, ["hash", "doc_id", "tampered"], "blocks")
+    tiers, subroots = _tiers(nodes, ["hash", "doc_id", "tampered"], "blocks")
     one = ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("key"), "hash"), ["key"], ["key", "hash"], partitions)
-    top, _ = _paths(one, ["hash", "key"], "trees")
-    root = _folded(F.col("hash"), F.col("path"))
-    trees = top.select(F.col("key").alias("of_tree"), F.col("hash").alias("subroot"), F.col("path").alias("above"), root.alias("root"))
-    whole = rows.join(trees, F.col("tree") == F.col("of_tree")).withColumn("steps", F.concat("path", "above"))
-    proof = F.array_join(F.transform("steps", lambda s: F.concat(s["left"], s["right"])), "")
-    folded = F.when(F.col("tampered").isNull(), F.col("root")).otherwise(_folded(F.col("tampered"), F.col("steps")))
-    out = whole.select("doc_id", F.col("hash").alias("leaf"), "subroot", "root", digest(proof).alias("proof_sha256"), folded.alias("folded_root"))
+    last, top = _tiers(one, ["hash", "key"], "trees")
+    trees = _descended(last, top.select("tree", F.array().cast(STEPS).alias("path"), F.col("hash").alias("root")))
+    rows = _descended(tiers, trees.select(F.col("key").alias("tree"), "path", F.col("hash").alias("subroot"), "root"))
+    proof = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    folded = _folded(F.coalesce("tampered", "hash"), F.col("path"))
+    out = rows.select("doc_id", F.col("hash").alias("leaf"), "subroot", "root", digest(proof).alias("proof_sha256"), folded.alias("folded_root"))
     return out.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))

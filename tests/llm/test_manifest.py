@@ -78,3 +78,18 @@ def test_three_tiers_and_no_rows(spark, monkeypatch):
     rows = [(i, "s", "en", 1, "Same") for i in range(600)]
     assert got(spark, rows) == brute(rows)
     assert got(spark, []) == []
+
+
+def test_untampered_leaves_are_folded_too(spark, monkeypatch):
+    """A path that is wrong somewhere shows in every leaf below it, tampered with or not."""
+    rows = [(i, "s", "en", 1, "same") for i in range(70)] + [(i, "s", "de", 1, "same") for i in range(70, 80)]
+    assert all(r[6] for r in got(spark, rows))
+    step = merkle._step
+
+    def wrong(level):
+        return step(level) if level else merkle.F.transform(step(level), lambda s: s.withField("left", merkle.F.concat(merkle.F.lit("x"), s["left"])))
+
+    monkeypatch.setattr(merkle, "_step", wrong)
+    found = got(spark, rows)
+    assert len(found) == 80 and not any(r[6] for r in found)
+    assert {r[3] for r in found} == {r[3] for r in brute(rows)}
