@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.catalog.tables import FW, fw, lines
+from flowguard.catalog.tables import FW, dealt, fw, fw_of, lines
+from flowguard.functions.scalar import with_pinned
 from flowguard.operators.events import eligible, normalise_events, prepare_events
 from flowguard.operators.parse import first_errors, key_value_features, parse_filterlog, parse_stats, status_counts
 
@@ -43,13 +44,11 @@ def ipv6_lines(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 1000).cast("string"), F.lit(",0,s"),
     )
     order = F.when(F.col("event_id") % 2 == 0, "6,TCP").otherwise("udp,17")
-    return fw(spark, folder).select(
-        "event_id",
-        F.concat(
-            F.lit("Jan "), F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, " "),
-            F.lit(" 10:00:00 fw01 filterlog: 5,,,1,em0,match,BLOCK,in,6,0x00,0,64,"), order, tail,
-        ).alias("value"),
+    value = F.concat(
+        F.lit("Jan "), F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, " "),
+        F.lit(" 10:00:00 fw01 filterlog: 5,,,1,em0,match,BLOCK,in,6,0x00,0,64,"), order, tail,
     )
+    return with_pinned(fw_of(dealt(spark, folder)), "value", value).select("event_id", "value")
 
 
 def parse_header(spark, folder):

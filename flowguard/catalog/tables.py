@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowguard.functions.scalar import with_pinned
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` dealt out to all tasks by content, for work that costs far more than reading.
+
+    A compact file has few row groups, and each is read by a single task.
+    """
+    events = table(spark, folder, "events")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return events.repartition(parts, *events.columns)
+
+
 def _with_k(events: DataFrame) -> DataFrame:
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
@@ -96,13 +108,12 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
         ",", *head, "interface", F.lit("match"), "action", *middle, number, "protocol",
         F.col("bytes").cast("int").cast("string"), "source_ip", "destination_ip", tail,
     )
-    return fw(spark, folder).select(
-        "event_id",
-        F.concat(
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
-            F.lit(" fw01 filterlog["), F.col("event_id").cast("string"), F.lit("]: "), body,
-        ).alias("value"),
+    value = F.concat(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.lit(" fw01 filterlog["), F.col("event_id").cast("string"), F.lit("]: "), body,
     )
+    # pinned, or a filter on the line would make it below the exchange as well
+    return with_pinned(fw_of(dealt(spark, folder)), "value", value).select("event_id", "value")
 
 
 def hist(spark: SparkSession, folder: str) -> DataFrame:
