@@ -41,12 +41,15 @@ def stream_finite(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, folder: str) -> tuple[str, LiveStore, str]:
-    """The log of all events in three files, whose middle third lands last, and an empty store."""
+    """The log of all events in three files, whose middle third lands last, and an empty store.
+
+    All tasks make the lines; the one that owns a file only writes them.
+    """
     base = f"{ensure_checkpoint_dir(spark)}/replay-{uuid4().hex}"
     lines = tables.lines(spark, folder).where("value IS NOT NULL")
     for i in (0, 2, 1):
         part = lines.where(F.floor(F.pmod("event_id", F.lit(300)) / 100) == i).select("value")
-        part.coalesce(1).write.mode("append").text(f"{base}/in")
+        part.repartition(1).write.mode("append").text(f"{base}/in")
     return f"{base}/in", LiveStore(f"{base}/store", WINDOW_6H), f"{base}/checkpoint"
 
 
