@@ -11,7 +11,9 @@ they are linear in the table counts, so the counts are averaged.
 
 Documents are cut into blocks. A block sends each bucket of contexts its distinct word
 pairs with the rows they occur in, so that a pair travels once per block however often
-it occurs. Buckets hold pair counts, answer block by block, and a block adds up the answers
+it occurs (once per ``MOST_TIMES``, to be exact, so that its training count is one byte). The
+first row of a pair is marked by its complement; how often the pair occurs follows from the
+marks. Buckets hold pair counts, answer block by block, and a block adds up the answers
 of all buckets; its ids travel in one cell, so no task holds the ids of more than its share. Contexts that hold a large share of all words are dealt to all buckets by the
 pair, and their totals are exchanged with those of the words.
 
@@ -39,6 +41,7 @@ BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 12 << 20
 LEAST_BUCKETS = 16
 BLOCK_ROWS = 30_000
+MOST_TIMES = 127
 DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 2.0
 BURN_IN, SAMPLES = 2, 3
@@ -50,7 +53,7 @@ _PRIME = np.uint64(0x100000001B3)
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 WORD, CONTEXT, TOTALS = 0, 1, 2
 
-PAIRS = "bucket int, block long, doc_ids array<long>, lengths array<int>, contexts array<long>, spans array<int>, words array<long>, times array<int>, trained array<int>, rows array<short>"
+PAIRS = "bucket int, block long, doc_ids array<long>, lengths array<int>, contexts array<long>, spans array<int>, words array<long>, trained array<byte>, rows array<short>"
 COUNTS = "bucket int, kind int, key long, customers long, tables double"
 PARTS = "bucket int, block long, doc_ids array<long>, lengths array<int>, rows array<short>, n_known array<int>, base_score array<double>, score array<float>, train_tokens long"
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -267,6 +270,25 @@ class WordCodes(dict):
         return codes, np.array(self.known, np.uint64)
 
 
+def marked_rows(words: np.ndarray, spans: np.ndarray, times: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words, spans and times with pairs cut at ``MOST_TIMES`` occurrences, and the rows with the first of each marked."""
+    cuts = -(-times // MOST_TIMES)
+    spans = np.add.reduceat(cuts, np.cumsum(spans) - spans)
+    last = np.cumsum(cuts) - 1
+    left = times - (cuts - 1) * MOST_TIMES
+    words, times = np.repeat(words, cuts), np.full(int(cuts.sum()), MOST_TIMES)
+    times[last] = left
+    rows, first = rows.astype(np.int16), np.cumsum(times) - times
+    rows[first] = ~rows[first]
+    return words, spans, times, rows
+
+
+def times_and_rows(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of every pair of a block and their rows, from rows with the first of each pair marked."""
+    times = np.diff(np.append(np.flatnonzero(marked < 0), len(marked)))
+    return times, np.where(marked < 0, ~marked, marked)
+
+
 class Bucket:
     """All word pairs of one bucket with their training counts, merged over the blocks that sent them."""
 
@@ -283,15 +305,14 @@ class Bucket:
 
     def parts(self, rows: pa.Table, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> Iterator[tuple]:
         """Per block: its rows and their sums of the three values of every pair."""
-        get = lambda name: rows.column(name).combine_chunks()
-        times, at = get("times"), get("rows")
-        pair_edges, row_edges = times.offsets.to_numpy(), at.offsets.to_numpy()
-        times, at = times.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False)
-        first = pair_edges[0]
+        marked = rows.column("rows").combine_chunks()
+        edges, marked = marked.offsets.to_numpy(), marked.values.to_numpy(zero_copy_only=False)
+        pairs = 0
         for k in range(rows.num_rows):
-            i, j = pair_edges[k : k + 2]
-            token = np.repeat(self.pair[i - first : j - first], times[i:j])
-            held, row = np.unique(at[row_edges[k] : row_edges[k + 1]], return_inverse=True)
+            times, at = times_and_rows(marked[edges[k] : edges[k + 1]])
+            token = np.repeat(self.pair[pairs : pairs + len(times)], times)
+            pairs += len(times)
+            held, row = np.unique(at, return_inverse=True)
             yield held, *[np.bincount(row, weights=x[token]) for x in (known, base, score)]
 
     def seat(self, parent: np.ndarray, sweeps: int, kept: int, others: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -354,8 +375,8 @@ def encode_block(batch: pa.RecordBatch, numbers: WordCodes, buckets: int, hot: n
 def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, block = WordCodes(), TaskContext.get().partitionId() << 40
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int16()))
-        names = ["bucket", "block", "doc_ids", "lengths", "contexts", "spans", "words", "times", "trained", "rows"]
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int16()))
+        names = ["bucket", "block", "doc_ids", "lengths", "contexts", "spans", "words", "trained", "rows"]
         for whole in batches:
             for batch in slices(whole, 1, BLOCK_BYTES):
                 ids = batch.column(0).to_pylist()
@@ -364,8 +385,10 @@ def word_pairs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 # one cell of a block, another one from block to block, carries the ids and lengths
                 carrier = int(mix(np.array([block], np.uint64))[0]) % max(len(cells), 1)
                 for k, (b, contexts, spans, words, times, rows) in enumerate(cells):
-                    trained = np.add.reduceat(training[rows], np.cumsum(times) - times)
-                    values = [b], [block], [ids if k == carrier else None], [numbers.lengths if k == carrier else None], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [times], [trained], [rows]
+                    learnt = training[rows]
+                    words, spans, times, rows = marked_rows(words, spans, times, rows)
+                    trained = np.add.reduceat(learnt, np.cumsum(times) - times)
+                    values = [b], [block], [ids if k == carrier else None], [numbers.lengths if k == carrier else None], [contexts.view(np.int64)], [spans], [words.view(np.int64)], [trained], [rows]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
                 block += len(ids)
 

@@ -356,6 +356,29 @@ def test_ids_of_a_block_travel_once(spark, monkeypatch):
     assert sum(map(sum, (c.trained for c in cells))) == sum(len(t.split()) + 1 for i, t in rows if hpylm.in_training([i])[0])
 
 
+def test_pairs_of_a_block_travel_without_their_times(spark):
+    rows = [(i, f"w{i % 7} w{i % 11} red apple") for i in range(300)] + [(400, "red apple " * 40_000), (401, None), (402, "")]
+    cells = hpylm.word_pairs(docs_of(spark, rows).coalesce(1), 16, np.zeros(1024, bool))
+    assert "times" not in cells.columns and dict(cells.dtypes)["trained"] == "array<tinyint>"
+    got, learnt = Counter(), Counter()
+    for c in cells.collect():
+        assert len(c.words) == len(c.trained) == sum(c.spans) == sum(r < 0 for r in c.rows) and c.rows[0] < 0
+        times, at = hpylm.times_and_rows(np.array(c.rows, np.int16))
+        assert times.max() <= hpylm.MOST_TIMES
+        pairs = list(zip(np.repeat(c.contexts, c.spans).tolist(), c.words))
+        for pair, n in zip(pairs, c.trained):
+            learnt[pair] += n
+        got.update((c.block, *pair, row) for pair, row in zip((p for p, n in zip(pairs, times) for _ in range(n)), at.tolist()))
+    want, known = Counter(), Counter()
+    signed = lambda words: np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64).tolist()
+    for row, (i, text) in enumerate(rows):
+        words = signed((text or "").encode().split())
+        pairs = list(zip(signed([b" "]) + words, words + signed([b""])))
+        want.update((0, *pair, row) for pair in pairs)
+        known.update(pairs if hpylm.in_training([i])[0] else [])
+    assert got == want and +learnt == known and max(want.values()) > 30_000
+
+
 def test_far_pivots_eliminate_no_near_row():
     rng = np.random.default_rng(2)
     vectors = rng.integers(-6, 7, (3000, 4))
