@@ -227,6 +227,52 @@ def test_coder_handles_every_id():
         assert (token_file.decode_ids(len(ids), crcs, sizes, payload) == ids).all()
 
 
+def test_coder_takes_the_groups_of_an_id_side_by_side(monkeypatch):
+    ids, calls = np.random.default_rng(3).integers(0, 65536, 3 * token_file.BLOCK_IDS - 100), []
+    put, take = token_file._Encoder.put, token_file._Decoder.take
+    monkeypatch.setattr(token_file._Encoder, "put", lambda *a: calls.append("put") or put(*a))
+    monkeypatch.setattr(token_file._Decoder, "take", lambda *a: calls.append("take") or take(*a))
+    assert (token_file.decode_ids(len(ids), *token_file.encode_ids(ids)) == ids).all()
+    # a step for the event of an id and one for its groups, three more until the last group is read
+    assert calls.count("put") <= 2 * token_file.BLOCK_IDS and calls.count("take") <= 2 * token_file.BLOCK_IDS + 3
+
+
+def test_damaged_blocks_are_named():
+    ids = np.random.default_rng(4).integers(0, 3000, 4 * token_file.BLOCK_IDS)
+    crcs, sizes, payload = token_file.encode_ids(ids)
+    for block, first in enumerate(np.cumsum(sizes) - sizes):
+        for unit in (9, int(sizes[block]) // 2):
+            broken = bytearray(payload)
+            broken[2 * (int(first) + unit)] ^= 0x55
+            with pytest.raises(ValueError, match=f"block {block} "):
+                token_file.decode_ids(len(ids), crcs, sizes, bytes(broken))
+
+
+def test_words_share_the_ids_of_their_parts(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(8)
+    signs = list("aBéÉßẞİΣς'=_^5٣ªµſK中🙂,!ñ÷ÿŸﬁ ") + ["\u0338", "e\u0301", "'s", "'LL", "<|endoftext|>", "<|", "|>", "</w>", "\x1c", "\x85", "\u2003", "\n", "\x00", " "]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(4000)] + ["", " ", " Stem, stem STEM!! "]
+    encoder, tokenizer = token_file.WordEncoder(path), Tokenizer.from_file(path)
+    ids, sizes = encoder.ids(pa.array([t.encode() for t in texts], pa.binary()))
+    expected = [[*e.ids, token_file.END_ID] for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+    known = len(encoder.parts)
+    encoder.ids(pa.array([b"sTeM steM, Stem!!"], pa.binary()))
+    assert len(encoder.parts) == known
+
+
+def test_segments_fill_up_over_small_batches(spark):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('w', id % 7) AS text")
+        segments = token_file.encode_segments(docs, public_tokenizers.path("word_bpe_49k.json")).select("number", F.size("doc_ids")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert [tuple(r) for r in segments] == [(0, 25_000)]
+
+
 def test_line_tokens_sum_to_the_document(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoding, sizes = token_counts.load_encoding(path, pattern)
